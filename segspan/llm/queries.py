@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, lengths, mixing
+from . import chat, decontam, langid, lengths, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(_table(spark, sf_dir, "conversations")).withColumn("masks", chat.mask_text(F.col("masks")))
 
@@ -26,8 +35,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_chat_perspectives, op5_source_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op4_chat_perspectives, op5_source_mix, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_perspectives": chat.ORACLE, "op5_source_mix": mixing.ORACLE.format(docs="documents")}
+    return {"op2_decontamination": decontam.ORACLE, "op4_chat_perspectives": chat.ORACLE, "op5_source_mix": mixing.ORACLE.format(docs="documents")}
