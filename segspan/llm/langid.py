@@ -80,17 +80,18 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 400, per_filter: int = 20_000, least: int = 3, rival: float = 0.25, slots_log2: int = 18, hashes: int = 4) -> Filters:
     """Learn the filters from labelled rows outside the held-out fold.
 
-    Reads a bounded sample: of each language the `per_language` rows whose ids hash lowest. An n-gram
+    Reads a bounded sample: of each language the rows whose ids hash lowest, `per_language` in expectation. An n-gram
     enters a language's filter if it occurs `least` times there and its share is at least `rival` times
     its share in any other language; the `per_filter` most frequent stay. Only they come to the driver.
     With at most 64 languages one slot is one machine word.
     """
     labelled = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id)))
-    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    rank = F.row_number().over(W.partitionBy("l").orderBy("k", "i"))
-    chosen = labelled.select(F.col(lang).alias("l"), F.col(doc_id).alias("i"), key.alias("k")).withColumn("r", rank).where(F.col("r") <= per_language)
-    chosen = chosen.select("i").distinct()  # bounded: per_language ids a language
-    sample = labelled.join(F.broadcast(chosen), F.col(doc_id).eqNullSafe(F.col("i")), "left_semi").select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    sizes = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    key = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 32)) / float(1 << 32)
+    share = F.lit(0.0)
+    for name, n in sizes.items():
+        share = F.when(F.col(lang) == name, min(1.0, per_language / n)).otherwise(share)
+    sample = labelled.where(key < share).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +108,6 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     grams = grams.where((F.col("n") >= least) & (F.col("share") >= rival * F.col("most")))
     grams = grams.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= per_filter)
     rows = grams.groupBy("lang").agg(F.collect_list("gram").alias("grams")).orderBy("lang").collect()
-    sizes = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
     languages = tuple(r["lang"] for r in rows)
     if len(languages) > 64:

@@ -19,7 +19,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to this vocabulary (a fixed value of the public tokenizer).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths that share a block of the two-level suffix sums.
-BLOCK = 4096
+BLOCK = 256
 
 
 def encoder(ranks: bytes):

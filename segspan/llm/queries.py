@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, langid, lengths, mixing
+from . import chat, decontam, jaccard, langid, lengths, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(_table(spark, sf_dir, "conversations")).withColumn("masks", chat.mask_text(F.col("masks")))
 
@@ -35,7 +39,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op4_chat_perspectives, op5_source_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_jaccard_join, op4_chat_perspectives, op5_source_mix, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
