@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver's JVM collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
         jvm = self.spark._jvm

@@ -12,7 +12,8 @@ smallest. Each sampled position stands for the run of windows that it is the sma
 1. Length 20, sampled positions: a name without a second document ends all its windows.
 2. Whole runs (50 to 80 bytes): a run that a smaller document has too is removed whole.
 3. Length 50, single windows: only runs of one 20-byte name that differ, which is where repeats begin
-   and end, are taken apart, and their windows are ranked one by one.
+   and end, are taken apart. Equal windows have equal smallest names, so the runs of one 20-byte name
+   are ranked where they meet; only names with very many runs send their windows through one more sort.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ from .store import Scratch
 WINDOW, SEED = 50, 20
 #: Rows that a task ranks among themselves before the shuffle.
 LOCAL_ROWS = 1 << 18
-RANGE = np.dtype([("start", "<i8"), ("size", "<i4"), ("name", "<u8")])
+#: Runs of one seed up to which their windows are ranked where the runs meet.
+MEET = 1 << 16
+RANGE = np.dtype([("start", "<i8"), ("size", "<i4"), ("name", "<u8"), ("seed", "<u8")])
+RUNS = "seed long, doc long, start long, run binary"
 
 
 def pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -100,7 +104,7 @@ def _local(doc: np.ndarray, start: np.ndarray, size: np.ndarray, seed: np.ndarra
 
 
 ROWS = "seed long, name long, doc long, start long, size int, more binary"
-RANKED = "doc long, start long, size int, name long, open boolean"
+RANKED = "seed long, doc long, start long, size int, name long, open boolean"
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +124,10 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _local(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _ranges(seed, doc, start, size, name, opened) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (seed, doc, start, size.astype(np.int32), name, opened)], names=["seed", "doc", "start", "size", "name", "open"])
+
+
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (seed, name, doc): closed ranges, which go, and open runs of seeds with several names.
 
@@ -129,8 +137,8 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     several = False  # the seed at the border has had several names
     wait: list[tuple] = []  # rows of its only name; they open if a second name comes
 
-    def out(doc, start, size, name, opened: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(size.astype(np.int32)), pa.array(name), pa.array(np.full(len(doc), opened))], names=["doc", "start", "size", "name", "open"])
+    def out(seed, doc, start, size, name, opened: bool) -> pa.RecordBatch:
+        return _ranges(seed, doc, start, size, name, np.full(len(doc), opened))
 
     for batch in batches:
         if not batch.num_rows:
@@ -143,15 +151,16 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new_name)
         least = np.concatenate([[least0 if least0 is not None else 0], doc[first]])[group]
         gone = doc > least
-        d, s, z, m = [doc[gone]], [start[gone]], [size[gone]], [name[gone]]
+        r, d, s, z, m = [seed[gone]], [doc[gone]], [start[gone]], [size[gone]], [name[gone]]
         more = batch.column(5)
         for k in np.flatnonzero(more.is_valid().to_numpy(zero_copy_only=False)):
             x = np.frombuffer(more[k].as_buffer(), [("doc", "<i8"), ("start", "<i8")])
+            r.append(np.full(len(x), seed[k]))
             d.append(x["doc"])
             s.append(x["start"])
             z.append(np.full(len(x), size[k]))
             m.append(np.full(len(x), name[k]))
-        yield out(*(np.concatenate(x) for x in (d, s, z, m)), False)
+        yield out(*(np.concatenate(x) for x in (r, d, s, z, m)), False)
         # Runs of the smallest documents open where their seed has several names.
         keep = np.flatnonzero(~gone)
         part = np.cumsum(new_seed)  # 0 goes on with the last batch's seed
@@ -164,13 +173,13 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(*(np.concatenate(x) for x in zip(*wait, strict=True)), True)
                 wait = []
         opens = keep[mult[part[keep]]]
-        yield out(doc[opens], start[opens], size[opens], name[opens], True)
+        yield out(seed[opens], doc[opens], start[opens], size[opens], name[opens], True)
         if part[-1]:
             wait = []
         several = bool(mult[part[-1]])
         if not several:
             tail = keep[part[keep] == part[-1]]
-            wait.append((doc[tail], start[tail], size[tail], name[tail]))
+            wait.append((seed[tail], doc[tail], start[tail], size[tail], name[tail]))
         seed0, name0, least0 = seed[-1], name[-1], least[-1]
 
 
@@ -181,7 +190,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         doc = batch.column("doc").to_numpy()
-        rows = np.rec.fromarrays([batch.column("start").to_numpy(), batch.column("size").to_numpy(), batch.column("name").to_numpy().view(np.uint64)], dtype=RANGE)
+        rows = np.rec.fromarrays([batch.column("start").to_numpy(), batch.column("size").to_numpy(), batch.column("name").to_numpy().view(np.uint64), batch.column("seed").to_numpy().view(np.uint64)], dtype=RANGE)
         edge = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]])
         docs, data = [], []
         for a, z in zip(edge[:-1], edge[1:], strict=True):
@@ -198,11 +207,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_document(rows: DataFrame) -> DataFrame:
-    return rows.select("doc", "start", "size", "name").repartition(F.col("doc")).sortWithinPartitions("doc", "start").mapInArrow(_pack, "doc long, ranges binary")
+    return rows.select("doc", "start", "size", "name", "seed").repartition(F.col("doc")).sortWithinPartitions("doc", "start").mapInArrow(_pack, "doc long, ranges binary")
 
 
 def _own(b: np.ndarray, offsets: np.ndarray, column: pa.Array, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, starts, ends, hashes) of the ranges that are really in the text: rows that share a doc_id have their ranges mixed."""
+    """(text, starts, ends, seeds) of the ranges that are really in the text: rows that share a doc_id have their ranges mixed."""
     h = None
     for k in range(len(offsets) - 1):
         if column[i + k].is_valid:
@@ -211,39 +220,114 @@ def _own(b: np.ndarray, offsets: np.ndarray, column: pa.Array, i: int) -> Iterat
             s = x["start"] + offsets[k]
             e = s + x["size"]
             ok = e <= offsets[k + 1]
-            s, e, name = s[ok], e[ok], x["name"][ok]
-            ok = range_hash(h, s, e) == name
-            yield k, s[ok], e[ok], h
+            s, e, x = s[ok], e[ok], x[ok]
+            ok = range_hash(h, s, e) == x["name"]
+            yield k, s[ok], e[ok], x["seed"][ok]
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The single windows of open runs, by name."""
-    held: list[tuple] = []
-    count = 0
+def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the open runs of each text."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        for i, j, b, offsets in chunks(batch.column(1)):
-            for k, s, e, h in _own(b, offsets, batch.column(2), i):
-                n = e - s - WINDOW + 1
-                q = np.unique(np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                name = range_hash(h, q, q + WINDOW)
-                held.append((np.full(len(q), ids[i + k]), q - offsets[k], np.full(len(q), WINDOW), name, name))
-                count += len(q)
-            if count > LOCAL_ROWS:
-                yield _local(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, count = [], 0
-    if count:
-        yield _local(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for i, _, b, offsets in chunks(batch.column(1)):
+            for k, s, e, seed in _own(b, offsets, batch.column(2), i):
+                if len(s):
+                    raw = b[offsets[k] : offsets[k + 1]].tobytes()
+                    at = s - offsets[k]
+                    run = [raw[x:y] for x, y in zip(at.tolist(), (e - offsets[k]).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(np.full(len(s), ids[i + k])), pa.array(at), pa.array(run, pa.binary())], names=["seed", "doc", "start", "run"])
+
+
+def _window_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, name) of each window of the table's runs."""
+    run = table.column("run").combine_chunks()
+    run = run.chunk(0) if isinstance(run, pa.ChunkedArray) else run
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none)]
+    doc, start = table.column("doc").to_numpy(), table.column("start").to_numpy()
+    for i, j, b, offsets in chunks(run):
+        n = np.diff(offsets) - WINDOW + 1
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        q = np.repeat(offsets[:-1], n) + nth
+        found.append((np.repeat(doc[i:j], n), np.repeat(start[i:j], n) + nth, range_hash(prefix_hash(b), q, q + WINDOW).view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _apart(meet: int):
+    """From runs sorted by seed: windows that a smaller document has too are closed; those of seeds with more than `meet` runs are open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count, hot = 0, None
+
+        def ranked() -> pa.RecordBatch:
+            doc, start, name = _window_rows(pa.Table.from_batches(held))
+            order = np.lexsort((doc, name))
+            doc, start, name = doc[order], start[order], name[order]
+            new = np.concatenate([[True], name[1:] != name[:-1]]) if len(name) else np.zeros(0, bool)
+            gone = doc > doc[new][np.cumsum(new) - 1]
+            return closed(doc[gone], start[gone], name[gone], False)
+
+        def closed(doc, start, name, opened: bool) -> pa.RecordBatch:
+            return _ranges(name, doc, start, np.full(len(doc), WINDOW), name, np.full(len(doc), opened))
+
+        for batch in batches:
+            while batch.num_rows:
+                seed = batch.column(0).to_numpy()
+                cut = int(np.searchsorted(seed != seed[0], True)) if seed[-1] != seed[0] else len(seed)  # the first seed's rows
+                if seed[0] == hot:
+                    yield closed(*_window_rows(pa.Table.from_batches([batch.slice(0, cut)])), True)
+                    batch = batch.slice(cut)
+                    continue
+                last = int(np.searchsorted(seed == seed[-1], True))  # where the last seed begins
+                if held and count >= meet and held[-1].column(0)[-1].as_py() != seed[0]:
+                    yield ranked()
+                    held, count = [], 0
+                if last and count + last <= 4 * meet:
+                    held.append(batch.slice(0, last))
+                    count += last
+                    batch = batch.slice(last)
+                    if count >= meet:
+                        yield ranked()
+                        held, count = [], 0
+                    continue
+                held.append(batch.slice(0, cut))
+                count += cut
+                own = sum(int((x.column(0).to_numpy() == seed[0]).sum()) for x in held)
+                if own > meet:
+                    mine = [x.filter(pa.array(x.column(0).to_numpy() == seed[0])) for x in held]
+                    held = [y for x in held if (y := x.filter(pa.array(x.column(0).to_numpy() != seed[0]))).num_rows]
+                    if held:
+                        yield ranked()
+                    held, count, hot = [], 0, seed[0]
+                    for x in mine:
+                        if x.num_rows:
+                            yield closed(*_window_rows(pa.Table.from_batches([x])), True)
+                batch = batch.slice(cut)
+        if held:
+            yield ranked()
+
+    return run
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x = [batch.column(k).to_numpy() for k in range(4)]
+            yield _local(x[0], x[1], x[2], x[3].view(np.uint64), x[3].view(np.uint64))
 
 
-def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc, start, size, name: byte ranges that go; their union, by document, is what the dedup removes. Reads doc_id and text."""
+def repeated_ranges(docs: DataFrame, scratch: Scratch, meet: int = MEET) -> DataFrame:
+    """seed, doc, start, size, name: byte ranges that go; their union, by document, is what the dedup removes. Reads doc_id and text."""
     sort = lambda rows: rows.repartition(F.col("seed")).sortWithinPartitions("seed", "name", "doc", "start").mapInArrow(_ranked, RANKED)
     ranked = scratch.put("ranked", sort(docs.mapInArrow(_sampled, ROWS)))
+    scratch.free()
     opened = _by_document(ranked.where("open"))
-    apart = docs.join(opened, docs["doc_id"] == opened["doc"]).select("doc_id", "text", "ranges").mapInArrow(_windows, ROWS)
-    windows = scratch.put("windows", sort(apart).where("not open"))
-    return ranked.where("not open").drop("open").unionByName(windows.drop("open"))
+    met = docs.join(opened, docs["doc_id"] == opened["doc"]).select("doc_id", "text", "ranges").mapInArrow(_open_runs, RUNS)
+    apart = scratch.put("apart", met.repartition(F.col("seed")).sortWithinPartitions("seed").mapInArrow(_apart(meet), RANKED))
+    scratch.free()
+    many = scratch.put("many", sort(apart.where("open").select("doc", "start", "size", "name").mapInArrow(_again, ROWS)).where("not open"))
+    return ranked.where("not open").drop("open").unionByName(apart.where("not open").drop("open")).unionByName(many.drop("open"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +355,7 @@ def removed_mask(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", meet: int = MEET) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `docs`.
 
     Removed is each byte inside a 50-byte string that also starts in a document with a smaller doc_id.
@@ -283,6 +367,6 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranges = _by_document(repeated_ranges(texts, scratch))
+    ranges = _by_document(repeated_ranges(texts, scratch, meet))
     both = texts.join(ranges, texts["doc_id"] == ranges["doc"], "left").select("doc_id", "text", "ranges")
     return both.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
