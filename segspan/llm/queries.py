@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, jaccard, langid, lengths, mixing, suffix
+from . import chaining, chat, decontam, jaccard, langid, lengths, mixing, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +38,18 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chaining.fuzzy_dedup(_table(spark, sf_dir, "documents"))
+    pairs = F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string")))
+    return found.withColumn("spans", F.coalesce(F.array_join(pairs, ","), F.lit("")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_jaccard_join, op4_chat_perspectives, op5_source_mix, op7_suffix_array_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_jaccard_join, op4_chat_perspectives, op5_source_mix, op7_suffix_array_dedup, op8_chained_passages, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
