@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chaining, chat, decontam, jaccard, langid, lengths, mixing, suffix
+from . import chaining, chat, decontam, jaccard, langid, lengths, mixing, search, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,13 +44,18 @@ def op8_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", F.coalesce(F.array_join(pairs, ","), F.lit("")))
 
 
+def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 20 = 0"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_jaccard_join, op4_chat_perspectives, op5_source_mix, op7_suffix_array_dedup, op8_chained_passages, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_jaccard_join, op4_chat_perspectives, op5_source_mix, op7_suffix_array_dedup, op8_chained_passages, op9_top_k_search, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE, "op4_chat_perspectives": chat.ORACLE, "op5_source_mix": mixing.ORACLE.format(docs="documents")}
+    return {"op2_decontamination": decontam.ORACLE, "op4_chat_perspectives": chat.ORACLE, "op5_source_mix": mixing.ORACLE.format(docs="documents"), "op9_top_k_search": search.ORACLE}
