@@ -151,16 +151,20 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new_name)
         least = np.concatenate([[least0 if least0 is not None else 0], doc[first]])[group]
         gone = doc > least
-        r, d, s, z, m = [seed[gone]], [doc[gone]], [start[gone]], [size[gone]], [name[gone]]
+        yield out(seed[gone], doc[gone], start[gone], size[gone], name[gone], False)
         more = batch.column(5)
-        for k in np.flatnonzero(more.is_valid().to_numpy(zero_copy_only=False)):
+        waiting, held = [], 0
+        for k in np.flatnonzero(more.is_valid().to_numpy(zero_copy_only=False)).tolist():
             x = np.frombuffer(more[k].as_buffer(), [("doc", "<i8"), ("start", "<i8")])
-            r.append(np.full(len(x), seed[k]))
-            d.append(x["doc"])
-            s.append(x["start"])
-            z.append(np.full(len(x), size[k]))
-            m.append(np.full(len(x), name[k]))
-        yield out(*(np.concatenate(x) for x in (r, d, s, z, m)), False)
+            waiting.append((np.full(len(x), k), x["doc"], x["start"]))
+            held += len(x)
+            if held >= LOCAL_ROWS:
+                k, d, s = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                yield out(seed[k], d, s, size[k], name[k], False)
+                waiting, held = [], 0
+        if waiting:
+            k, d, s = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            yield out(seed[k], d, s, size[k], name[k], False)
         # Runs of the smallest documents open where their seed has several names.
         keep = np.flatnonzero(~gone)
         part = np.cumsum(new_seed)  # 0 goes on with the last batch's seed
