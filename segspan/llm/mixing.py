@@ -53,9 +53,11 @@ def source_targets(sizes: DataFrame, weights: dict[str, float] | None = None, ca
     return per.withColumn("target", target.cast("double")).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, cap: int = 3, seed: str = "") -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, cap: int = 3, seed: str = "", rows_as: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of `docs`.
 
+    With `rows_as`, the whole input row rides along as a struct of that name.
+
     `taken` counts the words that the mix takes of a row, repeats included: a multiple of its size for
     whole epochs, and in the last epoch all, a part (the row at the cut) or none of it. The sum over a
     source is its target rounded down. Equal seeds give equal mixes.
@@ -65,7 +67,8 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     are taken one by one; an empty table gives an empty frame; other columns are not read.
     """
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("key"), word_count(F.col(text)).alias("size"))
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias(rows_as)] if rows_as else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("key"), word_count(F.col(text)).alias("size"), *whole)
     rows = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     # One pass over the texts: everything after it works on these four short columns.
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("size"))
@@ -83,7 +86,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     rest = words - epochs * F.col("source_size")
     start = F.col("before") + F.col("upto") - F.col("size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return out.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"), *([rows_as] if rows_as else []))
 
 
 ORACLE = """

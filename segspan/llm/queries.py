@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chaining, chat, decontam, jaccard, langid, lengths, mixing, search, suffix
+from . import chaining, chat, decontam, htmlblocks, jaccard, langid, lengths, mixing, search, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlblocks.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -53,8 +57,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_jaccard_join, op4_chat_perspectives, op5_source_mix, op7_suffix_array_dedup, op8_chained_passages, op9_top_k_search, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_jaccard_join, op4_chat_perspectives, op5_source_mix, op6_html_extraction, op7_suffix_array_dedup, op8_chained_passages, op9_top_k_search, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
