@@ -28,10 +28,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         """Write the frame and read it again."""
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self.names.add(name)
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def free(self) -> None:
@@ -41,6 +43,15 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
+        self.names.discard(name)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write the frame as the last table: all others and all shuffle files go."""
+        out = self.put(name, df)
+        for other in self.names - {name}:
+            self.drop(other)
+        self.free()
+        return out

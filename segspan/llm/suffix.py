@@ -371,6 +371,6 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranges = _by_document(repeated_ranges(texts, scratch, meet))
+    ranges = scratch.keep("ranges", _by_document(repeated_ranges(texts, scratch, meet)))
     both = texts.join(ranges, texts["doc_id"] == ranges["doc"], "left").select("doc_id", "text", "ranges")
     return both.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
