@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytesop import chunks, lower_table, shingles, word_hashes, word_table
+from .store import small_batches
 
 WINDOW, SHINGLE = 10, 5
 #: Bytes of benchmark text in one broadcast block.
@@ -215,6 +216,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     nothing; rows of one item id are all its windows; null item ids are left out; a null doc_id is kept;
     repeated rows each get a row; an empty table on either side gives no hits; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -270,6 +272,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, in which no benchmark window occurs."""
+    small_batches(docs.sparkSession)
     spark, at, out = docs.sparkSession, docs.columns.index(text), docs
     for items in _blocks(benchmark, "item_id", "text"):
         windows = windows_of(items)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytesop import lower_table, word_hashes, word_table
+from .store import small_batches
 
 MODEL = Path(__file__).with_name("blocks_model.npz")
 PATH, NEAR, WORDS, SIZES = 96, 32, 16, 8
@@ -241,6 +242,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_c
     end with the page; repeated rows each get a row; an empty table gives an empty frame; other columns are
     not read. Pages are labelled whole, some hundred at a time.
     """
+    small_batches(pages.sparkSession)
     data = model.read_bytes()
     kind = pages.schema[page_id].dataType.simpleString()
 

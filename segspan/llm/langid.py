@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .bytesop import chunks, mix
+from .store import small_batches
 
 UNDETERMINED = "und"
 
@@ -85,6 +86,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     its share in any other language; the `per_filter` most frequent stay. Only they come to the driver.
     With at most 64 languages one slot is one machine word.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id)))
     sizes = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     key = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 32)) / float(1 << 32)

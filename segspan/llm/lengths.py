@@ -14,6 +14,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .store import small_batches
+
 #: Where the public vocabularies are on the driver; a parameter of `token_lengths`.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to this vocabulary (a fixed value of the public tokenizer).
@@ -32,6 +34,7 @@ def encoder(ranks: bytes):
 
 def token_lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row `n_tokens` for each row of `docs`; a null or empty text has 0 tokens."""
+    small_batches(docs.sparkSession)
     ranks = Path(vocabulary).read_bytes()  # bounded: one vocabulary, under a megabyte
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,12 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB instead of 64 MB, unless the session says otherwise: each task holds some of them in both processes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, "8m")
+
+
 class Scratch:
     """A folder for one run of an operator; written tables survive lost executors and cut lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
+        small_batches(spark)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         """Write the frame and read it again."""
