@@ -20,8 +20,10 @@ def docs(spark, rows):
     return table(spark, rows).cache()
 
 
-@pytest.mark.parametrize("hot", [jaccard.HOT, 3])
-def test_jaccard(docs, rows, hot):
+@pytest.mark.parametrize(("hot", "small", "block", "at_once", "bundle"), [(jaccard.HOT, jaccard.SMALL, jaccard.BLOCK, jaccard.AT_ONCE, jaccard.BUNDLE_BYTES), (3, 2, 4096, 0, 2000), (jaccard.HOT, 2, 6, 1, 2000)])
+def test_jaccard(docs, rows, hot, small, block, at_once, bundle, monkeypatch):
+    for name, value in (("SMALL", small), ("BLOCK", block), ("AT_ONCE", at_once), ("BUNDLE_BYTES", bundle)):
+        monkeypatch.setattr(jaccard, name, value)
     sets = {}
     for k, t, *_ in rows:
         w = spaced(t)
