@@ -428,12 +428,17 @@ def _recurse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 carried = np.setdiff1d(alive, np.concatenate([new, y]))
             else:
                 p, carried = np.zeros(len(x), np.int64), everyone[:0]
-        else:  # too many for one block: members at even steps are pivots for all
-            new = everyone[:: -(-len(sid) // PIVOTS)]
-            pairs = [(k, near(k, everyone)) for k in new]
+        else:  # too many for one block: members at even steps are pivots for all, and more of them until there are pairs enough for a round
+            rest, chosen, pairs, found = everyone, [], [], 0
+            while len(rest) > 1 and found < len(sid):
+                chosen.append(rest[:: -(-len(rest) // PIVOTS)])
+                pairs += [(k, near(k, rest)) for k in chosen[-1]]
+                found = sum(len(c) for _, c in pairs)
+                rest = np.setdiff1d(rest, chosen[-1])
+            new = np.concatenate(chosen)
             x, y = np.concatenate([np.full(len(c), k) for k, c in pairs]), np.concatenate([c for _, c in pairs])
             p = np.where(np.isin(y, new), 0, g["pivot"][0])
-            carried = np.setdiff1d(everyone, np.concatenate([new, y]))
+            carried = np.setdiff1d(rest, y)
         if len(x):
             b = np.concatenate([y, carried])
             a = pa.array(np.concatenate([sid[x], np.zeros(len(carried), np.int64)]), mask=np.arange(len(b)) >= len(x))
