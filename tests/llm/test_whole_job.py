@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from segspan.llm import jaccard
+from segspan.llm import chaining, jaccard
 
 
 def rounds(batch):
@@ -27,3 +27,35 @@ def test_large_region_whose_first_pivots_have_no_partner(pair, monkeypatch):
     sketches[pair[1]] = sketches[pair[0]]
     rows = [{"pivot": 1, "sid": k + 1, "m": 100 << 2, "ca": 99, "cb": k + 1, "lo": 0.5, "hi": 0.5, "inner": False, "sketch": s} for k, s in enumerate(sketches)]
     assert rounds(pa.RecordBatch.from_pylist(rows)) == {(pair[0] + 1, pair[1] + 1)}
+
+
+def fragments(*rows):
+    return np.array([(x, x + n, y, y + n) for x, y, n in rows], chaining.FRAGMENT)
+
+
+def test_exact_words_before_looser_agreement():
+    r = np.random.default_rng(4)
+    x = r.integers(1, 1 << 62, 300).astype(np.uint64)
+    y = x.copy()
+    for row in range(90, 210, 12):
+        y[row + 8 : row + 12] += np.uint64(1)  # rows of 8 equal and 4 different words
+    y[:30] += np.uint64(1)
+    y[210:] += np.uint64(1)
+    found = chaining.align(fragments((30, 30, 176)), x, y)
+    assert found and min(p.start for p in found) == 30 and max(p.end for p in found) >= 90
+    assert all((x[p.start : p.end] == y[p.start : p.end]).mean() >= 0.8 and p.end - p.start >= 50 for p in found)
+
+
+def test_similar_parts_against_all_ranges():
+    r = np.random.default_rng(5)
+    for share in (0.7, 0.78, 0.82):
+        x = r.integers(1, 1 << 62, 160).astype(np.uint64)
+        y = np.where(r.random(160) < share, x, x + np.uint64(1))
+        m, want, got = x == y, np.zeros(160, bool), np.zeros(160, bool)
+        for s in range(160):
+            for e in range(s + 50, 161):
+                if m[s] and m[e - 1] and 5 * m[s:e].sum() >= 4 * (e - s):
+                    want[s:e] = True
+        for p in chaining.similar_parts(fragments((40, 40, 80)), x, y):
+            got[p.start : p.end] = True
+        assert (got == want).all()
