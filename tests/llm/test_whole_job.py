@@ -79,3 +79,29 @@ def test_fuzzy_passages(spark):
     assert all(got[k] == 0 for k in got if k not in want)
     recall = sum(got[k] for k in want) / sum(want.values())
     assert recall >= 0.97, recall
+
+
+def test_passage_of_stock_paragraphs(spark):
+    """Each paragraph's first and latest documents are others than the one that has all three."""
+    r = random.Random(7)
+    stock = [" ".join(f"s{r.randrange(10**6)}" for _ in range(40)) for _ in range(3)]
+    texts = [*stock, " ".join(stock), *(f"x{k} {t} y{k}" for k, t in enumerate(stock)), "u " + " ".join(stock) + " v"]
+    rows = [(k, t, "en", "a", len(t)) for k, t in enumerate(texts)]
+    for parts in (1, 8):
+        docs = table(spark, rows).repartition(parts)
+        got = {x.doc_id: [(s.start, s.end) for s in x.spans or []] for x in chaining.fuzzy_dedup(docs).collect()}
+        assert got == {k: [] if k != 7 else [(1, 121)] for k in range(8)}
+
+
+def test_picks_join_every_earlier_document():
+    r = random.Random(9)
+    text = [f"w{r.randrange(50)}" for _ in range(31)]
+    docs = [" ".join([f"a{k}"] * k + text + [f"b{k}"] * 30) for k in range(5)] + ["la " * 200, "", None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(docs))), "text": docs})
+    rows = [x for p in chaining._picks([batch]) for x in zip(*(c.to_pylist() for c in p.columns), strict=True)]
+    spans = pa.array([[{"start": 0, "end": 10**6}] if d == 3 else None for d, *_ in rows])
+    table_ = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary()), spans], names=["doc", "words", "picks", "spans"])
+    spots = pa.Table.from_batches(chaining._asking([table_])).sort_by([("seed", "ascending"), ("doc", "ascending"), ("pos", "ascending")])
+    for size in (3, 10**6):
+        found = {(m["doc"], m["anchor"], m["pos"] - m["apos"]) for b in chaining._all_matches(spots.combine_chunks().to_batches(max_chunksize=size)) for m in b.to_pylist()}
+        assert found == {(x, a, x - a) for x in (0, 1, 2, 4) for a in range(x)}
