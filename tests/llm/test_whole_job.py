@@ -101,7 +101,73 @@ def test_picks_join_every_earlier_document():
     rows = [x for p in chaining._picks([batch]) for x in zip(*(c.to_pylist() for c in p.columns), strict=True)]
     spans = pa.array([[{"start": 0, "end": 10**6}] if d == 3 else None for d, *_ in rows])
     table_ = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary()), spans], names=["doc", "words", "picks", "spans"])
-    spots = pa.Table.from_batches(chaining._asking([table_])).sort_by([("seed", "ascending"), ("doc", "ascending"), ("pos", "ascending")])
+    spots = pa.Table.from_batches(chaining._asking([table_], 64)).sort_by([("seed", "ascending"), ("doc", "ascending"), ("pos", "ascending")])
     for size in (3, 10**6):
-        found = {(m["doc"], m["anchor"], m["pos"] - m["apos"]) for b in chaining._all_matches(spots.combine_chunks().to_batches(max_chunksize=size)) for m in b.to_pylist()}
+        found = {(m["doc"], m["anchor"], m["pos"] - m["apos"]) for b in chaining._all_matches(spots.combine_chunks().to_batches(max_chunksize=size), chaining.LONG, None) for m in b.to_pylist()}
         assert found == {(x, a, x - a) for x in (0, 1, 2, 4) for a in range(x)}
+
+
+def test_picks_of_more_documents_come_out_as_places():
+    """Four documents with one pick each, and a limit of two earlier ones; a fifth seed has three documents only."""
+    rows = [(5, d, 10 * d, d == 4) for d in (1, 2, 3, 4)] + [(6, d, 0, True) for d in (1, 2, 3)]
+    batch = pa.RecordBatch.from_pydict({"seed": [x[0] for x in rows], "doc": [x[1] for x in rows], "pos": pa.array([x[2] for x in rows], pa.int32()), "asks": [x[3] for x in rows]})
+    for size in (1, 2, 3, 100):
+        got = [x for b in chaining._all_matches(iter(pa.Table.from_batches([batch]).to_batches(max_chunksize=size)), chaining.LONG, 3) for x in b.to_pylist()]
+        assert {(x["seed"], x["doc"], x["pos"], x["apos"]) for x in got if x["anchor"] is None} == {(5, d, 10 * d, int(d == 4)) for d in (1, 2, 3, 4)}
+        assert {(x["doc"], x["anchor"]) for x in got if x["anchor"] is not None} == {(2, 1), (3, 1), (3, 2)}
+
+
+def test_long_chain_of_short_fragments():
+    """Rows of nine equal and six other words: one chain, no passage, no recursion."""
+    x = np.arange(1, 1 + 15 * 2000, dtype=np.uint64)
+    y = x.copy()
+    for k in range(9, 15):
+        y[k::15] += np.uint64(1 << 40)
+    f = fragments(*((15 * k, 15 * k, 9) for k in range(2000)))
+    assert len(chaining.chain(f)[0]) == 2000
+    assert chaining.align(f, x, y) == []
+
+
+def test_common_words():
+    def plain(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            row = [0, *(0 for _ in y)] if not row else [0] + [max(row[k + 1], 0) if a != b else row[k] + 1 for k, b in enumerate(y)]
+            for k in range(1, len(row)):
+                row[k] = max(row[k], row[k - 1])
+        return row[-1]
+
+    r = random.Random(8)
+    for _ in range(200):
+        x, y = ([r.randrange(5) for _ in range(r.randrange(12))] for _ in range(2))
+        assert chaining.common_words(x, y) == plain(x, y)
+
+
+def test_every_partner_of_a_crowded_passage(spark):
+    """A passage of 60 words in 45 documents; the last one shares 20 more words with a middle one only: 50 words of both cross its end."""
+    r = random.Random(10)
+    common = " ".join(f"c{r.randrange(10**6)}" for _ in range(60))
+    extra = [" ".join(f"x{k}y{i}" for i in range(20)) for k in range(45)]
+    extra[44] = extra[20]
+    rows = [(k, f"{common} {t}", "en", "a", 0) for k, t in enumerate(extra)]
+    got = {x.doc_id: x.n_removed for x in chaining.fuzzy_dedup(table(spark, rows)).collect()}
+    assert got == {k: 0 if not k else 80 if k == 44 else 60 for k in range(45)}
+
+
+def test_default_against_every_seed_with_every_document(spark):
+    """Recall of the linear way on edited passages in many documents, against the whole definition."""
+    r = random.Random(11)
+    stock = [[f"s{k}w{r.randrange(3000)}" for _ in range(r.choice((50, 70, 120)))] for k in range(12)]
+    rows = []
+    for k in range(240):
+        parts = [f"o{k}x{i}" for i in range(r.randrange(40))]
+        for p in r.sample(stock, 2):
+            parts += [w if r.random() > r.choice((0, 0.05, 0.15)) else f"e{k}x{r.randrange(10**6)}" for w in p]
+            parts += [f"u{k}x{r.randrange(10**6)}" for _ in range(r.randrange(30))]
+        rows.append((k, " ".join(parts), "en", "a", 0))
+    docs = table(spark, rows)
+    words = lambda how: {(x.doc_id, w) for x in chaining.fuzzy_dedup(docs, how=how).collect() for s in x.spans or [] for w in range(s.start, s.end)}
+    want, got = words(chaining.Settings(hull=5, every=True)), words(chaining.Settings())
+    recall = len(want & got) / len(want)
+    print("recall", recall, len(want), len(got - want))
+    assert recall >= 0.95
