@@ -25,7 +25,7 @@ stands in for the distance, and the sets stay where they are. Links are verified
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bytesop import chunks, lower_table, mix, shingles, word_hashes, word_table
 from .graph import components
+from .lots import merged_array
 from .store import Scratch
 
 SHINGLE = 5
@@ -84,20 +85,6 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(both).view(np.int64)[0])
 
 
-def merged_array(parts: DataFrame, op: Callable, kind: type) -> np.ndarray:
-    """Combine rows (block int, data binary) of equal blocks; the result is as large as one array, whatever the input."""
-
-    def fold(table: pa.Table) -> pa.Table:
-        out = None
-        for x in table.column("data"):
-            one = np.frombuffer(x.as_py(), kind)
-            out = one.copy() if out is None else op(out, one)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "data": [out.tobytes()]})
-
-    rows = parts.groupBy("block").applyInArrow(fold, "block int, data binary").collect()
-    return np.concatenate([np.frombuffer(r["data"], kind) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(0, kind)
-
-
 def _levels(counts: np.ndarray) -> np.ndarray:
     """Rarity levels: 0 for what is as rare as hashing makes it look, then by powers of 2."""
     mean = max(1.0, float(counts.mean())) if len(counts) else 1.0
