@@ -35,6 +35,8 @@ def buckets_of(counts: np.ndarray, passes: int = 1) -> np.ndarray:
 
 def pack(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     """One row a bucket: its rows' columns one after another, each as planes of equal bytes, which compress well."""
+    if len(bucket) and bucket.max() < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by its digits
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     at = np.flatnonzero(np.concatenate([np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1]]))

@@ -101,7 +101,8 @@ def test_picks_join_every_earlier_document():
     rows = [x for p in chaining._picks([batch]) for x in zip(*(c.to_pylist() for c in p.columns[:3]), strict=True) if x[0] is not None]
     spans = pa.array([[{"start": 0, "end": 10**6}] if d == 3 else None for d, *_ in rows])
     table_ = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary()), spans], names=["doc", "words", "picks", "spans"])
-    spots = pa.Table.from_batches(chaining._asking([table_], 64)).sort_by([("seed", "ascending"), ("doc", "ascending"), ("pos", "ascending")])
+    lots_ = [pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), *map(pa.array, rest)], names=["seed", "doc", "pos", "asks"]) for seed, *rest in chaining._asking([table_], 64)]
+    spots = pa.Table.from_batches(lots_).sort_by([("seed", "ascending"), ("doc", "ascending"), ("pos", "ascending")])
     for size in (3, 10**6):
         found = {(m["doc"], m["anchor"], m["pos"] - m["apos"]) for b in chaining._all_matches(spots.combine_chunks().to_batches(max_chunksize=size), chaining.LONG, None) for m in b.to_pylist()}
         assert found == {(x, a, x - a) for x in (0, 1, 2, 4) for a in range(x)}
@@ -196,3 +197,13 @@ def test_packing_round_trip():
     for b, own in zip(sorted(set(bucket.tolist())), got, strict=True):
         assert all((x == c[bucket == b]).all() for x, c in zip(own, columns, strict=True))
     assert lots.pack(bucket[:0], [c[:0] for c in columns]).num_rows == 0
+
+
+def test_picks_are_the_least_of_their_windows():
+    r = np.random.default_rng(16)
+    for n in (1, 5, 11, 12, 13, 40):
+        x = r.integers(0, 1 << 62, n).astype(np.uint64)
+        edge = np.full(chaining.WINDOW - 1, ~np.uint64(0))
+        wide = np.concatenate([edge, x, edge])
+        want = {k + int(wide[k : k + chaining.WINDOW].argmin()) - len(edge) for k in range(n + len(edge))}
+        assert set(np.flatnonzero(chaining._of_windows(chaining._of_windows(wide, np.minimum), np.maximum) == x).tolist()) == want
