@@ -14,13 +14,15 @@ shingle to documents:
 2. Document pivots. A region is joined at once if it is tiny. Otherwise one member becomes its center and
    all distances to it are computed; regions that chose the same center are one from then on. Members
    within 0.2 of the center are linked to it, hence to each other. Only the rest, with the members close
-   enough to them by |d(x, p) - d(y, p)| <= 0.2, recurses. Later rounds take members with many possible
-   partners as pivots, and never compare members that links of the region already connect. So a group of
-   n near copies costs some n distances, not n**2 / 2.
+   enough to them by |d(x, p) - d(y, p)| <= 0.2, recurses. Regions that are still large are dealt into Voronoi
+   regions of some of their members, with border members copied as the triangle inequality demands, so they shrink by a
+   factor a round. Where they don't shrink, and in small ones, members with many possible partners are pivots; members
+   that links of the region already connect are never compared. So a group of n near copies costs some n distances.
 
 A parity sketch of each set (the parities of its members in 2048 hash classes) differs in no more bits than
 the sets differ in members. It bounds every distance from below; where that is beyond the radius the bound
 stands in for the distance, and the sets stay where they are. Links are verified on the whole sets. Equal sets are one node from the start.
+All joins are merges at every size of the input, which Spark splits at hot keys; a pair's bundle follows from its own row.
 """
 
 from __future__ import annotations
@@ -39,25 +41,26 @@ from .store import Scratch
 SHINGLE = 5
 #: Hashed counts that order the singleton pivots by rarity.
 COUNTS_LOG2 = 20
-#: Pairs up to which the list of the sets they need is broadcast (some 4 MB); longer lists are shuffled.
-FEW = 1 << 16
-#: Bytes of sets that are measured in one bundle.
-BUNDLE_BYTES = 16 << 20
+#: Bytes of sets that a bundle holds on one side of its pairs, and of those that stream past one center.
+BUNDLE_BYTES, STREAM_BYTES = 16 << 20, 4 << 20
 #: Regions of so many sets are joined at once.
 SMALL = 16
 #: Bits of the parity sketch that bounds symmetric differences from below.
 SKETCH_BITS = 2048
 #: Document pivots that each cluster of a region gets in a later round, and the most clusters that get some.
 PIVOTS, CLUSTERS = 32, 16
-#: Members up to which a region's remainder is compared by sketches in one block of memory.
-BLOCK = 4096
+#: Members up to which a region's remainder is compared by sketches in one block of memory; copies of a member, on
+#: average, that dealing a larger one may make.
+BLOCK, COPIES = 4096, 2
+#: Set ids that a task remembers to send equal sets once.
+SEEN = 1 << 20
 #: Regions that the hashed counts say are larger are not gathered in one task; their one center meets them in a join.
 HOT = 1 << 20
 #: Flags below 4n in a region row: the smaller side's bound holds; hot region.
 CORE, HOT_FLAG = 1, 2
 #: A pair to measure, and what its region has to know of b: flags, the labels of both, bounds of its distance to the
-#: center. Pairs of one `region` are measured together, so a set travels once and not once a pair.
-TODO = "a long, b long, pivot long, m long, ca long, cb long, lo double, hi double, region long"
+#: center. Pairs of one `region` are measured together, in `ka` times `kb` bundles by the hashes of a and b.
+TODO = "a long, b long, pivot long, m long, ca long, cb long, lo double, hi double, region long, ka long, kb long"
 #: A region's possible pairs are measured at once if they are so many a member.
 AT_ONCE = 16
 #: Bits a key and the most bits of the filter that says which sets are needed.
@@ -140,6 +143,8 @@ def _region_rows(docs: DataFrame, counts: np.ndarray, hot: int) -> DataFrame:
             for _, s in document_sets(batch.column(1)):
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(sid)
                 n = len(s)
                 far, near = n - -(-4 * n // 5) + 1, n - -(-8 * n // 9) + 1
@@ -190,21 +195,25 @@ def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[di
         yield from parts(pa.Table.from_batches(held), True)[0]
 
 
-def _todo(a, b, pivot, m, ca, cb, lo=None, hi=None, region=None) -> pa.RecordBatch:
-    region = a if region is None else region
+def _todo(a, b, pivot, m, ca, cb, lo, hi, region, ka, kb) -> pa.RecordBatch:
     a = a if isinstance(a, pa.Array) else pa.array(a)
     lo, hi = (pa.nulls(len(b), pa.float64()) if x is None else pa.array(x) for x in (lo, hi))
-    return pa.RecordBatch.from_arrays([a, *(pa.array(x) for x in (b, pivot, m, ca, cb)), lo, hi, pa.array(region)], names=["a", "b", "pivot", "m", "ca", "cb", "lo", "hi", "region"])
+    return pa.RecordBatch.from_arrays([a, *(pa.array(x) for x in (b, pivot, m, ca, cb)), lo, hi, pa.array(region), pa.array(ka), pa.array(kb)], names=[x.split()[0] for x in TODO.split(", ")])
+
+
+def _bundles(n: np.ndarray) -> int:
+    """Parts of a region whose sets have `n` members each: a part of them fits in a bundle."""
+    return int(8 * n.sum()) // BUNDLE_BYTES + 1
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Round 1 of the regions: pairs (a, b) to measure. In larger regions a is the center, and the row (pivot, b, m) stays open."""
-    cols: list[list[np.ndarray]] = [[], [], [], []]
+    cols: list[list[np.ndarray]] = [[], [], [], [], []]
     held = 0
 
     def flush() -> pa.RecordBatch:
-        a, b, p, m = (np.concatenate(c) for c in cols)
-        return _todo(a, b, p, m, a, b)
+        a, b, p, m, kb = (np.concatenate(c) for c in cols)
+        return _todo(a, b, p, m, a, b, None, None, a, np.ones(len(a), np.int64), kb)
 
     for g in _grouped(batches, ["pivot", "sid", "m"]):
         sid, at = np.unique(g["sid"], return_index=True)
@@ -219,15 +228,18 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = _can_link(n[x], core[x], n[y], core[y])
             a, b = sid[x[ok]], sid[y[ok]]
             p = m = np.zeros(len(a), np.int64)
+            # The pairs of a in all its small regions, of which it has about a fifth of its size.
+            kb = (n[x[ok]] // 5 + 2) * SMALL * 10 * n[x[ok]] // (64 * STREAM_BYTES) + 1
         else:  # the center is the smallest set id: the same one in all regions that a group of near copies shares
             a, b = np.full(len(sid) - 1, sid[0]), sid[1:]
             p, m = np.full(len(a), g["pivot"][0]), m[1:]
-        for col, v in zip(cols, (a, b, p, m), strict=True):
+            kb = np.full(len(a), int(8 * n.sum()) // STREAM_BYTES + 1)
+        for col, v in zip(cols, (a, b, p, m, kb), strict=True):
             col.append(v)
         held += len(a)
         if held > 1 << 16:
             yield flush()
-            cols, held = [[], [], [], []], 0
+            cols, held = [[], [], [], [], []], 0
     if held:
         yield flush()
 
@@ -249,53 +261,55 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to (a, b, region, na, nb, ka, kb): a lower bound of the distance, and whether it is within the radius."""
+    """Adds to (a, b, region, ka, kb, na, nb, sa, sb): a lower bound of the distance, and whether it is within the radius."""
     for batch in batches:
         total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-        differ = np.bitwise_count(_sketches(batch.column("ka")) ^ _sketches(batch.column("kb"))).sum(1).astype(np.int64)
+        differ = np.bitwise_count(_sketches(batch.column("sa")) ^ _sketches(batch.column("sb"))).sum(1).astype(np.int64)
         differ = np.maximum(differ, np.abs(batch.column("na").to_numpy() - batch.column("nb").to_numpy()))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("region"), batch.column("na"), batch.column("nb"), pa.array(2 * differ / (total + differ)), pa.array(9 * differ <= total)], names=["a", "b", "region", "na", "nb", "lo", "close"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("region"), batch.column("ka"), batch.column("kb"), pa.array(2 * differ / (total + differ)), pa.array(9 * differ <= total)], names=["a", "b", "region", "ka", "kb", "lo", "close"])
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact overlaps. Rows by bundle: first its sets (sid, set), then its pairs (sid, other); holds the sets of one bundle."""
-    bundle0, sets = None, {}
+    """Exact overlaps. Rows by bundle: first the sets of its a (sid, set), then for each b its set, if it is no a, and its pairs (sid, other).
+
+    Holds the sets of a bundle's a, and one b at a time.
+    """
+    bundle0, sets, passing = None, {}, (None, None)
     for batch in batches:
         a, b, both, either = [], [], [], []
         keys = list(zip(*(batch.column(k).to_pylist() for k in ("region", "i", "j")), strict=True))
-        sid, other, data = batch.column("sid").to_pylist(), batch.column("other").to_pylist(), batch.column("set")
+        sid, other, streams, data = batch.column("sid").to_pylist(), batch.column("other").to_pylist(), batch.column("streams").to_pylist(), batch.column("set")
         for k, bundle in enumerate(keys):
             if bundle != bundle0:
                 bundle0, sets = bundle, {}
             if other[k] is None:
-                sets[sid[k]] = np.frombuffer(data[k].as_py(), np.uint64)
+                one = np.frombuffer(data[k].as_py(), np.uint64)
+                if streams[k]:
+                    passing = sid[k], one
+                else:
+                    sets[sid[k]] = one
             else:
-                x, y = sets[sid[k]], sets[other[k]]
+                x, y = sets[other[k]], passing[1] if passing[0] == sid[k] else sets[sid[k]]
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                a.append(sid[k])
-                b.append(other[k])
+                a.append(other[k])
+                b.append(sid[k])
                 both.append(int((y[at] == x).sum()))
                 either.append(len(x) + len(y) - both[-1])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, both, either)], names=["a", "b", "both", "either"])
 
 
 def _bundled(close: DataFrame, content: DataFrame) -> DataFrame:
-    """Pairs (a, b, region, na, nb) with the sets they need, sorted by bundle.
-
-    A region of more than a bundle is split on both sides of its pairs, so a bundle has a bounded size.
-    """
-    members = close.select("region", F.col("a").alias("sid"), F.col("na").alias("n")).union(close.select("region", "b", "nb")).distinct()
-    k = members.groupBy("region").agg(F.greatest(F.ceil(8 * F.sum("n") / BUNDLE_BYTES), F.lit(1)).alias("k"))
-    of = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
-    pairs = close.join(k, "region").select("region", of("a").alias("i"), of("b").alias("j"), F.col("a").alias("sid"), F.col("b").alias("other"))
+    """Pairs (a, b, region, ka, kb) with the sets they need, in the order of `_measure`."""
+    of = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
+    pairs = close.select("region", of("a", "ka").alias("i"), of("b", "kb").alias("j"), F.col("b").alias("sid"), F.col("a").alias("other"))
     key = ["region", "i", "j"]
-    ends = pairs.select(*key, "sid").union(pairs.select(*key, F.col("other").alias("sid"))).distinct()
-    ends = F.broadcast(ends) if close.count() <= FEW else ends
-    sets = content.join(ends, "sid").select(*key, "sid", F.lit(None).cast("long").alias("other"), "set")
-    rows = sets.unionByName(pairs.select(*key, "sid", "other", F.lit(None).cast("binary").alias("set")))
-    return rows.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key, F.col("other").asc_nulls_first())
+    ends = pairs.select(*key, "sid", F.lit(1).alias("streams")).union(pairs.select(*key, "other", F.lit(0)))
+    ends = ends.groupBy("sid", *key).agg(F.min("streams").alias("streams"))
+    sets = content.join(ends.hint("merge"), "sid").select(*key, "streams", "sid", F.lit(None).cast("long").alias("other"), "set")
+    rows = sets.unionByName(pairs.select(*key, F.lit(1).alias("streams"), "sid", "other", F.lit(None).cast("binary").alias("set")))
+    return rows.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key, "streams", "sid", F.col("other").asc_nulls_first())
 
 
 def _needed_sets(docs: DataFrame, need: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -313,6 +327,8 @@ def _needed_sets(docs: DataFrame, need: DataFrame, bits: np.ndarray) -> DataFram
                     continue
                 at = int(mix(np.array([sid], np.int64).view(np.uint64) + mix(np.array([known[row] or 0], np.int64).view(np.uint64)))[0] & top)
                 if bc.value[at >> 3] >> (at & 7) & 1:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add((sid, known[row]))
                     ids.append(known[row])
                     sids.append(sid)
@@ -325,7 +341,21 @@ def _needed_sets(docs: DataFrame, need: DataFrame, bits: np.ndarray) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["sid", "rep", "set"])
 
     found = docs.mapInArrow(run, "sid long, rep long, set binary")
-    return found.join(need.select(F.col("sid").alias("s2"), F.col("rep").alias("r2")), F.col("sid").eqNullSafe(F.col("s2")) & F.col("rep").eqNullSafe(F.col("r2")), "left_semi").select("sid", "set").dropDuplicates(["sid"])
+    return found.join(need.select("sid").hint("merge"), "sid", "left_semi").select("sid", "set").dropDuplicates(["sid"])
+
+
+def _passed(content: DataFrame, need: DataFrame) -> DataFrame:
+    """The rows of `content` that a filter over the sids of `need` passes: few others travel."""
+    named = need.select("sid", F.lit(0).cast("long").alias("rep"))
+    bc = content.sparkSession.sparkContext.broadcast(_filter_bits(named, named.count()))
+    top = np.uint64(len(bc.value) * 8 - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = (mix(batch.column(0).to_numpy().view(np.uint64) + mix(np.zeros(1, np.uint64))) & top).astype(np.int64)
+            yield batch.filter(pa.array((bc.value[at >> 3] >> (at & 7)) & 1 > 0))
+
+    return content.mapInArrow(run, "sid long, set binary")
 
 
 def _filter_bits(need: DataFrame, n: int) -> np.ndarray:
@@ -379,11 +409,28 @@ def _choose(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(new)
 
 
+def _deal(sk: np.ndarray, n: np.ndarray) -> list[np.ndarray] | None:
+    """Members of the Voronoi regions of some members, or None if these are hardly smaller.
+
+    The distance is that of sketches. Two sets x, y within the radius differ in at most (n(x) + n(y)) / 9 bits, which is
+    n(y) / 4 at most, as neither has over 5/4 of the other. With p the pivot next to x and q the one next to y,
+    d(y, p) <= d(x, p) + n(y)/4 <= d(x, q) + n(y)/4 <= d(y, q) + n(y)/2. So y goes to all pivots that are at most n(y)/2
+    farther than its own, and meets x at p.
+    """
+    pivots = np.arange(0, len(sk), -(-len(sk) // PIVOTS))
+    d = np.stack([np.bitwise_count(sk ^ sk[p]).sum(1).astype(np.int64) for p in pivots], 1)
+    inside = 2 * (d - d.min(1, keepdims=True)) <= n[:, None]
+    if inside.sum() > COPIES * len(sk) or 2 * inside.sum(0).max() > len(sk):
+        return None
+    return [np.flatnonzero(x) for x in inside.T]
+
+
 def _recurse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Later rounds of the regions. Rows: pivot, sid, m, ca, cb, lo and hi (the distance to the center lies between), inner, sketch.
 
     Sends pairs to measure; those with a pivot keep the region open. A member without a possible partner
-    under another label is done, and so is a pivot, of which all possible pairs are sent.
+    under another label is done, and so is a pivot, of which all possible pairs are sent. Large regions are dealt into
+    smaller ones first: their members go on without a pair.
     """
     for g in _grouped(batches, ["pivot", "sid", "m", "ca", "cb", "lo", "hi", "inner", "sketch"]):
         new_label = _labels(g["ca"], g["cb"], g["inner"].astype(bool))
@@ -415,7 +462,13 @@ def _recurse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 carried = np.setdiff1d(alive, np.concatenate([new, y]))
             else:
                 p, carried = np.zeros(len(x), np.int64), everyone[:0]
-        else:  # too many for one block: members at even steps are pivots for all, and more of them until there are pairs enough for a round
+        elif (parts := _deal(sk, n)) is not None:
+            for k, own in enumerate(parts):
+                if len(own) > 1:
+                    p = np.full(len(own), mix(g["pivot"][:1].view(np.uint64) + mix(np.array([k + 1], np.uint64))).view(np.int64)[0])
+                    yield _todo(pa.nulls(len(own), pa.int64()), sid[own], p, m[own], label[own], label[own], lo[own], hi[own], p, *np.ones((2, len(own)), np.int64))
+            continue
+        else:  # members at even steps are pivots for all, and more of them until there are pairs enough for a round
             rest, chosen, pairs, found = everyone, [], [], 0
             while len(rest) > 1 and found < len(sid):
                 chosen.append(rest[:: -(-len(rest) // PIVOTS)])
@@ -430,7 +483,7 @@ def _recurse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = np.concatenate([y, carried])
             a = pa.array(np.concatenate([sid[x], np.zeros(len(carried), np.int64)]), mask=np.arange(len(b)) >= len(x))
             p = np.concatenate([p, np.full(len(carried), g["pivot"][0])])
-            yield _todo(a, sid[b], p, m[b], np.concatenate([label[x], label[carried]]), label[b], lo[b], hi[b], np.full(len(b), g["pivot"][0]))
+            yield _todo(a, sid[b], p, m[b], np.concatenate([label[x], label[carried]]), label[b], lo[b], hi[b], np.full(len(b), g["pivot"][0]), *np.full((2, len(b)), _bundles(n)))
 
 
 def _first_round(rows: DataFrame, has_hot: bool, scratch: Scratch) -> DataFrame:
@@ -444,10 +497,11 @@ def _first_round(rows: DataFrame, has_hot: bool, scratch: Scratch) -> DataFrame:
         return first
     # Centers are combined before the shuffle; the join's hot keys can be split, as its other side has one row a key.
     hot = rows.where(is_hot)
-    centers = hot.groupBy("pivot").agg(F.min("sid").alias("a"))
-    met = hot.join(centers, "pivot").where("a <> sid").select("a", F.col("sid").alias("b"), "pivot", "m").distinct()
+    k = F.expr(f"8 * sum(m div 4) div {STREAM_BYTES} + 1")
+    centers = hot.groupBy("pivot").agg(F.min("sid").alias("a"), k.alias("kb"))
+    met = hot.join(centers.hint("merge"), "pivot").where("a <> sid").select("a", F.col("sid").alias("b"), "pivot", "m", "kb").distinct()
     null = F.lit(None).cast("double")
-    return first.unionByName(met.select("a", "b", "pivot", "m", F.col("a").alias("ca"), F.col("b").alias("cb"), null.alias("lo"), null.alias("hi"), F.col("a").alias("region")))
+    return first.unionByName(met.select("a", "b", "pivot", "m", F.col("a").alias("ca"), F.col("b").alias("cb"), null.alias("lo"), null.alias("hi"), F.col("a").alias("region"), F.lit(1).cast("long").alias("ka"), "kb"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
@@ -469,52 +523,55 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     todo = scratch.put("pairs-1", _first_round(_region_rows(texts, counts, hot), bool((counts > hot).any()), scratch))
     scratch.free()
     reps = scratch.put("reps", sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    side = lambda x: reps.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    side = lambda x: reps.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     links, content, round_ = None, None, 1
     all_reps = reps
     while not todo.isEmpty():
         if round_ == 2:  # from here on all pairs are of members that are open now
             alive = todo.select(F.col("b").alias("sid")).union(todo.where("a is not null").select("a")).distinct()
-            reps = scratch.put("reps-open", all_reps.join(alive, "sid", "left_semi"))
+            reps = scratch.put("reps-open", all_reps.join(alive.hint("merge"), "sid", "left_semi"))
         # A pair keeps its direction: its first set is the pivot.
-        pairs = todo.where("a is not null").groupBy("a", "b").agg(F.min("region").alias("region")).join(side("a"), "a").join(side("b"), "b")
-        bounds = scratch.put(f"bounds-{round_}", pairs.mapInArrow(_bound, "a long, b long, region long, na long, nb long, lo double, close boolean"))
-        close = bounds.where("close").select("a", "b", "region", "na", "nb")
+        pairs = todo.where("a is not null").groupBy("a", "b").agg(F.min(F.struct("region", "ka", "kb")).alias("r")).select("a", "b", "r.*")
+        pairs = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+        bounds = scratch.put(f"bounds-{round_}", pairs.mapInArrow(_bound, "a long, b long, region long, ka long, kb long, lo double, close boolean"))
+        close = bounds.where("close").select("a", "b", "region", "ka", "kb")
         if round_ <= 2:  # all later pairs are of members that round 2 leaves open
             ends = close if round_ == 1 else todo.where("a is not null")
             ends = ends.select(F.col("a").alias("sid")).union(ends.select("b"))
             ends = (ends if round_ == 1 else ends.union(todo.select("b"))).distinct()
             have = content
-            need = ends if have is None else ends.join(have.select("sid"), "sid", "left_anti")
-            need = scratch.put(f"need-{round_}", need.join(reps.select("sid", "rep"), "sid"))
+            need = ends if have is None else ends.join(have.select("sid").hint("merge"), "sid", "left_anti")
+            need = scratch.put(f"need-{round_}", need.join(reps.select("sid", "rep").hint("merge"), "sid"))
             content = scratch.put(f"content-{round_}", _needed_sets(texts, need, _filter_bits(need, need.count())))
             if have is not None:
                 content = content.unionByName(have)
             scratch.free()
-        measured = scratch.put(f"measured-{round_}", _bundled(close, content).mapInArrow(_measure, "a long, b long, both long, either long"))
+        ends = close.select(F.col("a").alias("sid")).union(close.select("b")).distinct()
+        sets_of = content if round_ == 1 else _passed(content, ends)
+        measured = scratch.put(f"measured-{round_}", _bundled(close, sets_of).mapInArrow(_measure, "a long, b long, both long, either long"))
         scratch.free()
         within = F.coalesce(100 * F.col("both") >= 80 * F.col("either"), F.lit(False))
         linked = measured.where(within).select("a", "b")
         links = linked if links is None else links.unionByName(linked)
         exact = 1 - F.col("both") / F.col("either")
-        distance = bounds.drop("region", "na", "nb").join(measured, ["a", "b"], "left").select("a", "b", F.coalesce(exact, "lo").alias("lo"), F.coalesce(exact, F.lit(1.0)).alias("hi"), within.alias("inner"))
-        members = todo.where("pivot <> 0").withColumnsRenamed({"lo": "lo0", "hi": "hi0"}).join(distance, ["a", "b"], "left")
+        distance = bounds.drop("region", "ka", "kb").join(measured.hint("merge"), ["a", "b"], "left").select("a", "b", F.coalesce(exact, "lo").alias("lo"), F.coalesce(exact, F.lit(1.0)).alias("hi"), within.alias("inner"))
+        members = todo.where("pivot <> 0").withColumnsRenamed({"lo": "lo0", "hi": "hi0"}).join(distance.hint("merge"), ["a", "b"], "left")
         members = members.select("pivot", F.col("b").alias("sid"), "m", "ca", "cb", F.coalesce("lo0", "lo").alias("lo"), F.coalesce("hi0", "hi").alias("hi"), F.coalesce("inner", F.lit(False)).alias("inner"))
         if round_ == 1:
             members = members.drop("pivot").withColumn("pivot", F.col("ca")).dropDuplicates(["pivot", "sid"])
             # Regions of one center are one. Those wholly linked to it end; of the linked members only those stay that an unlinked one can be near to.
             least = members.where("not inner").groupBy("pivot").agg(F.min("lo").alias("least"))
             members = members.join(least, "pivot").where((~F.col("inner")) | (F.col("hi") >= F.col("least") - 0.2 - 1e-9)).drop("least")
-        open_ = members.join(reps.select("sid", "sketch"), "sid").select("pivot", "sid", "m", "ca", "cb", "lo", "hi", "inner", "sketch")
+        open_ = members.join(reps.select("sid", "sketch").hint("merge"), "sid").select("pivot", "sid", "m", "ca", "cb", "lo", "hi", "inner", "sketch")
         round_ += 1
         todo = scratch.put(f"pairs-{round_}", open_.repartition(F.col("pivot")).sortWithinPartitions("pivot").mapInArrow(_recurse, TODO))
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
     roots = components(links, scratch).withColumnRenamed("node", "sid")
-    labelled = all_reps.select("sid", "rep").join(roots, "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
+    labelled = all_reps.select("sid", "rep").join(roots.hint("merge"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component"))
-    by_set = labelled.join(least, "root").select("sid", "component")
-    out = sets.select("doc_id", "n", "sid").join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    by_set = labelled.join(least.hint("merge"), "root").select("sid", "component")
+    out = sets.select("doc_id", "n", "sid").join(by_set.hint("merge"), "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return scratch.keep("components", out)
 
 

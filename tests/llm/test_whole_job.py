@@ -207,3 +207,65 @@ def test_picks_are_the_least_of_their_windows():
         wide = np.concatenate([edge, x, edge])
         want = {k + int(wide[k : k + chaining.WINDOW].argmin()) - len(edge) for k in range(n + len(edge))}
         assert set(np.flatnonzero(chaining._of_windows(chaining._of_windows(wide, np.minimum), np.maximum) == x).tolist()) == want
+
+
+def test_large_regions_are_dealt_without_losing_pairs(monkeypatch):
+    """Sketches in clusters far from each other: a region of 400 shrinks, and all pairs of close sketches come out."""
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    r = np.random.default_rng(14)
+    bits = jaccard.SKETCH_BITS
+    bases = r.integers(0, 2, (20, bits)).astype(np.uint8)
+    rows = []
+    for k in range(400):
+        own = bases[k % 20].copy()
+        own[r.choice(bits, r.integers(0, 60), replace=False)] ^= 1
+        rows.append(own)
+    sk = np.packbits(np.array(rows), axis=1).view(np.uint64)
+    n = np.full(400, 300)
+    parts = jaccard._deal(sk, n)
+    assert parts is not None and max(map(len, parts)) <= 200
+    differ = np.bitwise_count(sk[:, None] ^ sk[None]).sum(2).astype(int)
+    x, y = np.nonzero(np.triu(9 * differ <= 600, 1))
+    together = np.zeros((400, 400), bool)
+    for own in parts:
+        together[np.ix_(own, own)] = True
+    assert len(x) and together[x, y].all()
+    batch = pa.RecordBatch.from_pylist([{"pivot": 1, "sid": k + 1, "m": 300 << 2, "ca": 99, "cb": k + 1, "lo": 0.5, "hi": 0.5, "inner": False, "sketch": s.tobytes()} for k, s in enumerate(sk)])
+    sent = pa.Table.from_batches(list(jaccard._recurse([batch])))
+    assert sent.column("a").null_count == sent.num_rows and len(set(sent.column("pivot").to_pylist())) > 1
+    assert jaccard._deal(np.repeat(sk[:1], 400, 0), n) is None
+
+
+def test_templates_of_common_passages(spark, monkeypatch):
+    """Documents of eight out of forty common passages, with a few near copies among them, in regions over BLOCK."""
+    for name, value in (("BLOCK", 64), ("SMALL", 8), ("PIVOTS", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(15)
+    common = [[f"p{k}w{i}" for i in range(12)] for k in range(40)]
+    texts = []
+    for _ in range(450):
+        texts.append([w for p in r.sample(common, 8) for w in [*p, *(f"f{r.randrange(40)}" for _ in range(4))]])
+    planted = {}
+    for k in range(0, 30, 5):
+        copy = list(texts[k])
+        copy[60] = "changed"
+        planted[len(texts)] = k
+        texts.append(copy)
+    rows = [(k, " ".join(t), "en", "a", 0) for k, t in enumerate(texts)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(sets)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                a, b = find(x), find(y)
+                root[max(a, b)] = min(a, b)
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(table(spark, rows)).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
+    assert all(got[a] == got[b] for a, b in planted.items())
