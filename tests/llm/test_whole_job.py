@@ -108,14 +108,20 @@ def test_picks_join_every_earlier_document():
         assert found == {(x, a, x - a) for x in (0, 1, 2, 4) for a in range(x)}
 
 
-def test_picks_of_more_documents_come_out_as_places():
-    """Four documents with one pick each, and a limit of two earlier ones; a fifth seed has three documents only."""
-    rows = [(5, d, 10 * d, d == 4) for d in (1, 2, 3, 4)] + [(6, d, 0, True) for d in (1, 2, 3)]
-    batch = pa.RecordBatch.from_pydict({"seed": [x[0] for x in rows], "doc": [x[1] for x in rows], "pos": pa.array([x[2] for x in rows], pa.int32()), "asks": [x[3] for x in rows]})
+def test_picks_of_more_documents_come_out_as_places(monkeypatch):
+    """Four documents with one pick each, and a limit of two earlier ones; a fifth seed has three documents only, a sixth asks for no window."""
+    rows = [(5, d, 10 * d, 2 * (d == 4)) for d in (1, 2, 3, 4)] + [(6, d, 0, 2) for d in (1, 2, 3)] + [(7, d, 5, 1) for d in (1, 2, 3, 4)]
+    batch = pa.RecordBatch.from_pydict({"seed": [x[0] for x in rows], "doc": [x[1] for x in rows], "pos": pa.array([x[2] for x in rows], pa.int32()), "asks": pa.array([x[3] for x in rows], pa.int8())})
     for size in (1, 2, 3, 100):
-        got = [x for b in chaining._all_matches(iter(pa.Table.from_batches([batch]).to_batches(max_chunksize=size)), chaining.LONG, 3) for x in b.to_pylist()]
-        assert {(x["seed"], x["doc"], x["pos"], x["apos"]) for x in got if x["anchor"] is None} == {(5, d, 10 * d, int(d == 4)) for d in (1, 2, 3, 4)}
-        assert {(x["doc"], x["anchor"]) for x in got if x["anchor"] is not None} == {(2, 1), (3, 1), (3, 2)}
+        got = list(chaining._all_matches(iter(pa.Table.from_batches([batch]).to_batches(max_chunksize=size)), chaining.LONG, 3))
+        packed = [b.select(["bucket", "data"]) for b in got if b.column("data").null_count == 0]
+        places = [x for b in chaining._by_document(iter(packed)) for x in b.to_pylist()]
+        assert places == [{"doc": d, "at": [10 * d]} for d in (1, 2, 3, 4)]
+        assert {(x["doc"], x["anchor"]) for b in got for x in b.to_pylist() if x["anchor"] is not None} == {(2, 1), (3, 1), (3, 2)}
+    monkeypatch.setattr(chaining, "BATCH_ROWS", 2)  # a seed of many batches: its places go as they come
+    got = list(chaining._all_matches(iter(pa.Table.from_batches([batch]).to_batches(max_chunksize=2)), chaining.LONG, 3))
+    places = {(x["doc"], y) for b in got if b.column("data").null_count == 0 for p in chaining._by_document(iter([b.select(["bucket", "data"])])) for x in p.to_pylist() for y in x["at"]}
+    assert places >= {(d, 10 * d) for d in (1, 2, 3, 4)}
 
 
 def test_long_chain_of_short_fragments():
