@@ -208,12 +208,12 @@ def _bundles(n: np.ndarray) -> int:
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Round 1 of the regions: pairs (a, b) to measure. In larger regions a is the center, and the row (pivot, b, m) stays open."""
-    cols: list[list[np.ndarray]] = [[], [], [], [], []]
+    cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
     held = 0
 
     def flush() -> pa.RecordBatch:
-        a, b, p, m, kb = (np.concatenate(c) for c in cols)
-        return _todo(a, b, p, m, a, b, None, None, a, np.ones(len(a), np.int64), kb)
+        a, b, p, m, region, kb = (np.concatenate(c) for c in cols)
+        return _todo(a, b, p, m, a, b, None, None, region, np.ones(len(a), np.int64), kb)
 
     for g in _grouped(batches, ["pivot", "sid", "m"]):
         sid, at = np.unique(g["sid"], return_index=True)
@@ -228,18 +228,21 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = _can_link(n[x], core[x], n[y], core[y])
             a, b = sid[x[ok]], sid[y[ok]]
             p = m = np.zeros(len(a), np.int64)
-            # The pairs of a in all its small regions, of which it has about a fifth of its size.
-            kb = (n[x[ok]] // 5 + 2) * SMALL * 10 * n[x[ok]] // (64 * STREAM_BYTES) + 1
+            # Small regions with one least set, which has about a fifth of its size of them, are measured together, in as many
+            # bundles as may be needed: a pair that several regions find takes the first.
+            parts = int(n[0] // 5 + 2) * SMALL * 10 * int(n[0]) // BUNDLE_BYTES + 1
+            name = sid[:1].view(np.uint64) + mix(g["pivot"][:1].view(np.uint64) % np.uint64(parts))
+            region, kb = np.full(len(a), mix(name).view(np.int64)[0]), np.ones(len(a), np.int64)
         else:  # the center is the smallest set id: the same one in all regions that a group of near copies shares
             a, b = np.full(len(sid) - 1, sid[0]), sid[1:]
             p, m = np.full(len(a), g["pivot"][0]), m[1:]
-            kb = np.full(len(a), int(8 * n.sum()) // STREAM_BYTES + 1)
-        for col, v in zip(cols, (a, b, p, m, kb), strict=True):
+            region, kb = a, np.full(len(a), int(8 * n.sum()) // STREAM_BYTES + 1)
+        for col, v in zip(cols, (a, b, p, m, region, kb), strict=True):
             col.append(v)
         held += len(a)
         if held > 1 << 16:
             yield flush()
-            cols, held = [[], [], [], [], []], 0
+            cols, held = [[], [], [], [], [], []], 0
     if held:
         yield flush()
 
