@@ -20,6 +20,15 @@ def predictor_spec(spec: str) -> tuple[str, str]:
     return Path(spec).name.split(".")[0], spec
 
 
+def own_types(gt: list[str] | None, specs: list[str] | None) -> dict[str, list[str]]:
+    """Exon types by source, from types of the reference and `name:type` of predictors (several of one name add up)."""
+    out = {"gt": gt} if gt else {}
+    for spec in specs or ():
+        name, _, kind = spec.partition(":")
+        if not name or not kind:
+            raise SystemExit(f"{spec} is not name:type")
+        out.setdefault(name, []).append(kind)
+    return out
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,7 +40,9 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--config", required=True)
     run.add_argument("--exclude-features", action="append", default=[])
     run.add_argument("--transcript-types", action="append")
-    run.add_argument("--exon-types", action="append")
+    run.add_argument("--exon-types", action="append", help="of all sources without types of their own")
+    run.add_argument("--gt-exon-feature-type", action="append", help="of the reference")
+    run.add_argument("--pred-exon-feature-type", action="append", metavar="NAME:TYPE", help="of one predictor")
     run.add_argument("--metrics", action="append", choices=[m.value for m in Metric] + ["all"])
     run.add_argument("--output")
     run.add_argument("--mapping-output")
@@ -65,6 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         metrics=metrics,
         transcript_types=args.transcript_types or ("mRNA", "transcript"),
         exon_types=args.exon_types or "exon",
+        own_exon_types=own_types(args.gt_exon_feature_type, args.pred_exon_feature_type),
         mode=LocusMatching(args.locus_matching),
         infer_introns=not args.no_infer_introns,
         individual=args.individual,

@@ -66,6 +66,7 @@ class LabelConfig:
 FIVE_ROLES = LabelConfig(8, 0, 2, 1, 3)
 
 
+# Names of the metric families and of the matching modes.
 class Metric(Enum):
     INDEL = "indel"
     REGION_DISCOVERY = "region_discovery"
@@ -85,6 +86,7 @@ ARRAY_DEFAULTS = (Metric.REGION_DISCOVERY, Metric.BOUNDARY_EXACTNESS, Metric.NUC
 GFF_DEFAULTS = (Metric.REGION_DISCOVERY, Metric.BOUNDARY_EXACTNESS)
 FULL_SWEEP = tuple(Metric)
 
+# Fixed values.
 #: Intron inference on long axes: the length from which a cutoff applies, the multiple of a typical gap, the jump that splits gap lengths.
 LARGE_AXIS, TYPICAL_GAPS, GAP_JUMP = 1_000_000, 20, 5.0
 #: Half-widths of the bias matrix and of the reliability matrix; bins of the position histogram.

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import LocusMatching
 from ..functions.scalars import overlap
+from ..functions.storage import materialized
 from .runs import interval_union
 
 PLACE = ["seqid", "strand"]
@@ -49,6 +51,7 @@ def loci(spans: DataFrame, by: list[str] | None = None) -> DataFrame:
     return rows.withColumn("l_start", F.min("start").over(one)).withColumn("l_stop", F.max("stop").over(one))
 
 
+# The names of the pair classes and the mark of predictions without a reference.
 def pair_class(g: Column, p: Column) -> Column:
     """exact, contained, contains, shared_junction or overlapping. Structs with start, stop, chain."""
     single = (F.size(g["chain"]) == 0) | (F.size(p["chain"]) == 0)
@@ -115,63 +118,101 @@ def best_per_locus(scored: DataFrame) -> DataFrame:
     return scored.where("score > 0").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def assignment(score: list[list[float]]) -> list[tuple[int, int]]:
-    """Row and column pairs with the largest total score (shortest augmenting paths with potentials)."""
-    rows, cols = len(score), len(score[0])
+def assignment(score: list[list[int]] | list[list[float]] | np.ndarray) -> list[tuple[int, int]]:
+    """Row and column pairs with the largest total score (shortest augmenting paths with potentials, whole columns at once).
+
+    Whole numbers of any size stay exact.
+    """
+    cost = -np.array(score, dtype=None if isinstance(score, np.ndarray) else object if isinstance(score[0][0], int) else float)
+    rows, cols = cost.shape
     if rows > cols:
-        turned = [[score[r][c] for r in range(rows)] for c in range(cols)]
-        return sorted((r, c) for c, r in assignment(turned))
-    inf = float("inf")
-    row_price, col_price = [0.0] * rows, [0.0] * (cols + 1)
-    owner = [-1] * (cols + 1)  # the last column starts each search
+        return sorted((r, c) for c, r in assignment(-cost.T))
+    far = float("inf")
+    row_price, col_price = np.zeros(rows, cost.dtype), np.zeros(cols, cost.dtype)
+    owner = np.full(cols, -1)
     for r in range(rows):
-        owner[cols], here = r, cols
-        dist, came, closed = [inf] * cols, [cols] * cols, [False] * (cols + 1)
-        while owner[here] != -1:
-            closed[here] = True
-            own, step, following = owner[here], inf, -1
-            for c in range(cols):
-                if closed[c]:
-                    continue
-                slack = -score[own][c] - row_price[own] - col_price[c]
-                if slack < dist[c]:
-                    dist[c], came[c] = slack, here
-                if dist[c] < step:
-                    step, following = dist[c], c
-            for c in range(cols + 1):
-                if closed[c]:
-                    row_price[owner[c]] += step
-                    col_price[c] -= step
-                elif c < cols:
-                    dist[c] -= step
-            here = following
-        while here != cols:
-            owner[here] = owner[came[here]]
-            here = came[here]
-    return sorted((owner[c], c) for c in range(cols) if owner[c] != -1)
+        dist, came, open_ = np.full(cols, far, cost.dtype), np.full(cols, -1), np.ones(cols, bool)
+        reached, here, base = [(r, 0)], -1, 0
+        own = r
+        while True:
+            slack = base + cost[own] - row_price[own] - col_price
+            better = open_ & (slack < dist)
+            dist[better], came[better] = slack[better], here
+            left = np.flatnonzero(open_)
+            here = int(left[int(np.argmin(dist[left]))])
+            base = dist[here]
+            open_[here] = False
+            if owner[here] < 0:
+                break
+            own = int(owner[here])
+            reached.append((own, base))
+        for x, at in reached:
+            row_price[x] += base - at
+        closed = np.flatnonzero(~open_)
+        col_price[closed] -= base - dist[closed]
+        while here >= 0:
+            before = int(came[here])
+            owner[here] = owner[before] if before >= 0 else r
+            here = before
+    return sorted((int(owner[c]), c) for c in range(cols) if owner[c] >= 0)
+
+
+#: Pairs of a component up to which equally good assignments are told apart by the order of their pairs.
+ORDERED = 64
+
+
+def best_pairs(rows: pd.DataFrame) -> np.ndarray:
+    """Which of the scored pairs of a locus, in order, are in its best one-to-one assignment.
+
+    Connected groups of pairs are independent. Among equal totals (scores count to nine decimals) the assignment that has
+    the earlier pairs is taken, in groups of up to ORDERED pairs.
+    """
+    gs, ps = rows["gt_id"].factorize()[0], rows["pred_id"].factorize()[0]
+    root = list(range(gs.max() + ps.max() + 2))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for g, p in zip(gs.tolist(), (ps + gs.max() + 1).tolist(), strict=True):
+        root[find(g)] = find(p)
+    group = np.array([find(g) for g in gs.tolist()])
+    points = np.rint(rows["score"].to_numpy() * 1e9).astype(np.int64)
+    keep = np.zeros(len(rows), bool)
+    order = np.argsort(group, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        if len(own) == 1:
+            keep[own] = True
+            continue
+        g, p = (np.unique(x[own], return_inverse=True)[1] for x in (gs, ps))
+        n = len(own)
+        if n <= ORDERED:
+            m = [[0] * (p.max() + 1) for _ in range(g.max() + 1)]
+            for k in range(n):
+                m[g[k]][p[k]] = (int(points[own[k]]) << n) + (1 << (n - 1 - k))
+        else:
+            m = np.zeros((g.max() + 1, p.max() + 1))
+            m[g, p] = points[own]
+        chosen = set(assignment(m))
+        keep[own] = [(a, b) in chosen for a, b in zip(g.tolist(), p.tolist(), strict=True)]
+    return keep
 
 
 def full_discovery(scored: DataFrame) -> DataFrame:
     """One-to-one pairs of each locus and predictor with the largest total score; pairs of score 0 are dropped.
 
-    Pairs without a rival on either side are taken in SQL; only true contests go to Python, one locus at a time.
+    Loci without rivals on either side are taken in SQL; only true contests go to Python, one locus at a time.
     """
     some = scored.where("score > 0")
     key = [*PLACE, "locus", "predictor"]
     n = some.withColumn("_g", F.count(F.lit(1)).over(W.partitionBy(*key, "gt_id"))).withColumn("_p", F.count(F.lit(1)).over(W.partitionBy(*key, "pred_id")))
-    rivals = F.max(F.greatest("_g", "_p")).over(W.partitionBy(*key))
-    n = n.withColumn("_m", rivals)
+    n = n.withColumn("_m", F.max(F.greatest("_g", "_p")).over(W.partitionBy(*key)))
     alone = n.where("_m = 1").drop("_g", "_p", "_m")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["gt_start", "gt_stop", "gt_ord", "pred_ord"], kind="stable").reset_index(drop=True)
-        gs, ps = list(dict.fromkeys(rows["gt_id"])), list(dict.fromkeys(rows.sort_values("pred_ord", kind="stable")["pred_id"]))
-        gi, pi = {x: k for k, x in enumerate(gs)}, {x: k for k, x in enumerate(ps)}
-        m = [[0.0] * len(ps) for _ in gs]
-        for g, p, s in zip(rows["gt_id"], rows["pred_id"], rows["score"], strict=True):
-            m[gi[g]][pi[p]] = s
-        chosen = {(gs[g], ps[p]) for g, p in assignment(m)}
-        return rows[[(g, p) in chosen for g, p in zip(rows["gt_id"], rows["pred_id"], strict=True)]]
+        return rows[best_pairs(rows)]
 
     contested = n.where("_m > 1").drop("_g", "_p", "_m")
     return alone.unionByName(contested.groupBy(*key).applyInPandas(solve, contested.schema))
@@ -192,9 +233,11 @@ def mapping(gt: DataFrame, pred: DataFrame, mode: LocusMatching = LocusMatching.
     placed = loci(gt)
     scored = candidates(placed, pred)
     chosen = best_per_locus(scored) if mode is LocusMatching.BEST_PER_LOCUS else full_discovery(scored)
-    flat = chosen.withColumn("is_unmatched_prediction", F.lit(False)).select(*MAPPING)
+    of = lambda rows: rows.withColumn("is_unmatched_prediction", F.lit(False)).select(*MAPPING)
     if mode is LocusMatching.BEST_PER_LOCUS:
-        return flat
+        return of(chosen)
+    chosen = materialized(chosen)  # three branches read it
+    flat = of(chosen)
     missed = gt.join(flat.select(*PLACE, F.col("gt_id").alias("gff_id")).distinct(), [*PLACE, "gff_id"], "left_anti")
     null = {"predictor": "string", "pred_id": "string", "pred_start": "long", "pred_stop": "long", "match_class": "string", "base_overlap": "long", "junction_f1": "double"}
     missed = missed.select(*PLACE, F.col("gff_id").alias("gt_id"), F.col("start").alias("gt_start"), F.col("stop").alias("gt_stop"), F.lit(False).alias("is_unmatched_prediction"), *[F.lit(None).cast(t).alias(c) for c, t in null.items()])
@@ -207,8 +250,10 @@ def painted(mapped: DataFrame, features: DataFrame, predictors: DataFrame, exon_
     Sentinels belong to their own predictor; a reference without a match keeps an empty prediction.
     """
     windows = mapped.select(*PLACE, "gt_id", "gt_start", "gt_stop", "is_unmatched_prediction").distinct()
-    matched = mapped.where("predictor is not null").select(*PLACE, "gt_id", "predictor", "pred_id")
-    pairs = windows.crossJoin(F.broadcast(predictors.select("predictor").distinct())).join(matched, [*PLACE, "gt_id", "predictor"], "left")
+    # Predictors may use one id for different transcripts, so a sentinel is known by its window too.
+    place = [*PLACE, "gt_id", "gt_start", "gt_stop"]
+    matched = mapped.where("predictor is not null").select(*place, "predictor", "pred_id")
+    pairs = windows.crossJoin(F.broadcast(predictors.select("predictor").distinct())).join(matched, [*place, "predictor"], "left")
     pairs = pairs.where("not is_unmatched_prediction or pred_id is not null")
     kids = features.where(F.col("type").isin(*exon_types) & F.col("parent").isNotNull()).select("source", "seqid", "parent", "start", "stop")
     gt = pairs.where("not is_unmatched_prediction").join(kids.where(F.col("source") == gt_source).select("seqid", F.col("parent").alias("gt_id"), "start", "stop"), ["seqid", "gt_id"]).withColumn("side", F.lit("gt"))
@@ -222,6 +267,6 @@ def painted(mapped: DataFrame, features: DataFrame, predictors: DataFrame, exon_
 def pair_windows(mapped: DataFrame, predictors: DataFrame) -> DataFrame:
     """predictor, seqid, strand, gt_id, n: the axes of `painted`."""
     windows = mapped.select(*PLACE, "gt_id", "gt_start", "gt_stop", "is_unmatched_prediction").distinct()
-    own = mapped.where("is_unmatched_prediction").select(*PLACE, "gt_id", F.col("predictor").alias("own"))
-    rows = windows.crossJoin(F.broadcast(predictors.select("predictor").distinct())).join(own, [*PLACE, "gt_id"], "left")
-    return rows.where("own is null or own = predictor").select("predictor", *PLACE, "gt_id", (F.col("gt_stop") - F.col("gt_start") + 1).cast("int").alias("n"))
+    own = mapped.where("is_unmatched_prediction").select(*PLACE, "gt_id", "gt_start", "gt_stop", "predictor", F.lit(True).alias("own"))
+    rows = windows.crossJoin(F.broadcast(predictors.select("predictor").distinct())).join(own, [*PLACE, "gt_id", "gt_start", "gt_stop", "predictor"], "left")
+    return rows.where("not is_unmatched_prediction or own").select("predictor", *PLACE, "gt_id", (F.col("gt_stop") - F.col("gt_start") + 1).cast("int").alias("n"))

@@ -79,6 +79,16 @@ def transition_counts(events: DataFrame, by: list[str]) -> DataFrame:
     return events.groupBy(*by, "kind", "ctx", "row", "col").agg(F.count(F.lit(1)).alias("n"))
 
 
+def late_total(counts: DataFrame, by: list[str]) -> DataFrame:
+    """n of all late transitions."""
+    return counts.groupBy(*by).agg(total(F.col("kind") == "late", F.col("n")).alias("n"))
+
+
+def false_by_target(counts: DataFrame, by: list[str]) -> DataFrame:
+    """kind, target, n: premature and spurious transitions by the label they go to."""
+    return counts.where("kind in ('premature', 'spurious')").groupBy(*by, "kind", F.col("col").alias("target")).agg(F.sum("n").cast("long").alias("n"))
+
+
 def dense_transitions(counts: DataFrame, config: LabelConfig, by: list[str]) -> DataFrame:
     """All label pairs under all contexts, zeros included: five labels at most a side."""
     spark = counts.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import BIAS, RELIABILITY
@@ -12,26 +13,54 @@ from .runs import KEYS
 def pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """Every overlapping (reference, predicted) section of a sequence: indexes, ends, overlap, residuals, IoU.
 
-    Both sides are sorted and disjoint, so there are at most as many pairs as sections. The equality on the
-    sequence bounds the interval join.
+    Both sides are sorted and disjoint, so a section that starts can only meet the section of the other side that
+    started last: one window over the sections of a sequence finds all pairs, without a join.
     """
-    g = gt.select(*KEYS, F.col("idx").alias("g_idx"), F.col("lo").alias("g_lo"), F.col("hi").alias("g_hi"))
-    p = pred.select(*KEYS, F.col("idx").alias("p_idx"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
-    both = g.join(p, KEYS).where("p_lo <= g_hi and p_hi >= g_lo")
+    side = lambda df, name: df.select(*KEYS, F.lit(name).alias("side"), "idx", "lo", "hi")
+    upto = W.partitionBy(*KEYS).orderBy("lo", "side").rowsBetween(W.unboundedPreceding, -1)
+    last = lambda name: F.last(F.when(F.col("side") == name, F.struct("idx", "lo", "hi")), ignorenulls=True).over(upto)
+    rows = side(gt, "gt").unionByName(side(pred, "pred")).withColumn("_g", last("gt")).withColumn("_p", last("pred"))
+    own, is_gt = F.struct("idx", "lo", "hi"), F.col("side") == "gt"
+    rows = rows.select(*KEYS, "lo", F.when(is_gt, own).otherwise(F.col("_g")).alias("g"), F.when(is_gt, F.col("_p")).otherwise(own).alias("p"))
+    both = rows.where("g.hi >= lo and p.hi >= lo").select(*KEYS, *[F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in "gp" for x in ("idx", "lo", "hi")])
     c = [F.col(x) for x in ("g_lo", "g_hi", "p_lo", "p_hi")]
     return both.select("*", overlap(*c).alias("bases"), (F.col("p_lo") - F.col("g_lo")).alias("r5"), (F.col("p_hi") - F.col("g_hi")).alias("r3"), iou(*c).alias("iou"))
 
 
+#: Pairs of a stretch up to which its matching is a fold inside the row.
+FOLDED = 64
+
+
 def matches(found: DataFrame) -> DataFrame:
     """The greedy one-to-one matching of each sequence: largest overlap first, ties by reference, then prediction.
 
-    A fold over the sorted candidates of one sequence; as sections are disjoint these are few.
+    In the order of sections, pairs that share one are neighbours; stretches of such neighbours are matched on their
+    own, short ones by a fold in the JVM, long ones in Python, each in time n log n.
     """
-    kind = "array<struct<neg:int,gi:int,pi:int,g_lo:int,g_hi:int,p_lo:int,p_hi:int>>"
-    of = F.struct((-F.col("bases")).cast("int").alias("neg"), F.col("g_idx").cast("int").alias("gi"), F.col("p_idx").cast("int").alias("pi"), *[F.col(c).cast("int").alias(c) for c in ("g_lo", "g_hi", "p_lo", "p_hi")])
-    listed = found.groupBy(*KEYS).agg(F.array_sort(F.collect_list(of)).alias("c"))
-    fold = F.aggregate("c", F.expr(f"cast(array() as {kind})"), lambda acc, c: F.when(F.exists(acc, lambda m: (m["gi"] == c["gi"]) | (m["pi"] == c["pi"])), acc).otherwise(F.concat(acc, F.array(c))))
-    return listed.select(*KEYS, F.inline(fold)).select(*KEYS, F.col("gi").alias("g_idx"), F.col("pi").alias("p_idx"), (-F.col("neg")).alias("bases"), "g_lo", "g_hi", "p_lo", "p_hi")
+    w = W.partitionBy(*KEYS).orderBy("g_idx", "p_idx")
+    linked = (F.lag("g_idx").over(w) == F.col("g_idx")) | (F.lag("p_idx").over(w) == F.col("p_idx"))
+    cols = ["g_idx", "p_idx", "bases", "g_lo", "g_hi", "p_lo", "p_hi"]
+    rows = found.select(*KEYS, *[F.col(c).cast("int").alias(c) for c in cols], F.when(linked, 0).otherwise(1).alias("_new"))
+    rows = rows.withColumn("_stretch", F.sum("_new").over(w)).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*KEYS, "_stretch")))
+    key = [*KEYS, "_stretch"]
+    kind = "array<struct<neg:int,g_idx:int,p_idx:int,bases:int,g_lo:int,g_hi:int,p_lo:int,p_hi:int>>"
+    of = F.struct((-F.col("bases")).alias("neg"), *cols)
+    listed = rows.where(F.col("_n") <= FOLDED).groupBy(*key).agg(F.array_sort(F.collect_list(of)).alias("c"))
+    fold = F.aggregate("c", F.expr(f"cast(array() as {kind})"), lambda acc, c: F.when(F.exists(acc, lambda m: (m["g_idx"] == c["g_idx"]) | (m["p_idx"] == c["p_idx"])), acc).otherwise(F.concat(acc, F.array(c))))
+    short = listed.select(*KEYS, F.inline(fold)).select(*KEYS, *cols)
+
+    def solve(one: pd.DataFrame) -> pd.DataFrame:
+        one = one.sort_values(["bases", "g_idx", "p_idx"], ascending=[False, True, True])
+        taken_g, taken_p, keep = set(), set(), []
+        for g, p in zip(one["g_idx"], one["p_idx"], strict=True):
+            keep.append(g not in taken_g and p not in taken_p)
+            if keep[-1]:
+                taken_g.add(g)
+                taken_p.add(p)
+        return one[keep][[*KEYS, *cols]]
+
+    long = rows.where(F.col("_n") > FOLDED).groupBy(*key).applyInPandas(solve, short.schema)
+    return short.unionByName(long)
 
 
 def perfect(gt: DataFrame, pred: DataFrame) -> DataFrame:

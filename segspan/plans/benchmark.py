@@ -6,29 +6,20 @@ to the driver as a dictionary.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import ARRAY_DEFAULTS, GFF_DEFAULTS, LARGE_AXIS, LabelConfig, LocusMatching, Metric
+from ..functions.storage import materialized
 from ..operators import annotation, mapping, perbase, runs, sections, structure
 from ..sources import arrays, gff
 
 AGGREGATE = ["predictor"]
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """The frame as checkpoint files, in the folder of spark.checkpoint.dir: plans that use it many times stay small."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="segspan-"))
-    return df.checkpoint()
-
-
 @dataclass
 class Evaluation:
     """Lazy result frames by name, grouped by predictor, or by sequence and chunk if `individual`."""
@@ -142,9 +133,34 @@ def _types(value: str | Sequence[str]) -> list[str]:
     return types
 
 
-def benchmark_features(features: DataFrame, config: LabelConfig, metrics: Iterable[Metric] | None = None, transcript_types: str | Sequence[str] = ("mRNA", "transcript"), exon_types: str | Sequence[str] = "exon", mode: LocusMatching = LocusMatching.FULL_DISCOVERY, infer_introns: bool = True, individual: bool = False, gt_source: str = "gt") -> Evaluation:
-    """Per-transcript and annotation-wide families for features of a reference (source `gt`) and predictors."""
+def with_exon_types(features: DataFrame, exon_types: list[str], own: dict[str, list[str]]) -> DataFrame:
+    """Features whose exons are all of the type `exon`: what `own` names for their source, else `exon_types`. A type `exon` that is not meant becomes `other exon`."""
+    meant = F.col("type").isin(*exon_types)
+    for source, types in own.items():
+        meant = F.when(F.col("source") == source, F.col("type").isin(*types)).otherwise(meant)
+    return features.withColumn("type", F.when(meant, "exon").when(F.col("type") == "exon", "other exon").otherwise(F.col("type")))
+
+
+def benchmark_features(
+    features: DataFrame,
+    config: LabelConfig,
+    metrics: Iterable[Metric] | None = None,
+    transcript_types: str | Sequence[str] = ("mRNA", "transcript"),
+    exon_types: str | Sequence[str] = "exon",
+    mode: LocusMatching = LocusMatching.FULL_DISCOVERY,
+    infer_introns: bool = True,
+    individual: bool = False,
+    gt_source: str = "gt",
+    own_exon_types: dict[str, str | Sequence[str]] | None = None,
+) -> Evaluation:
+    """Per-transcript and annotation-wide families for features of a reference (source `gt`) and predictors.
+
+    `own_exon_types` names the exon types of single sources, the reference among them; others have `exon_types`.
+    """
     transcript_types, exon_types = _types(transcript_types), _types(exon_types)
+    if own_exon_types:
+        features = with_exon_types(features, exon_types, {k: _types(v) for k, v in own_exon_types.items()})
+        exon_types = ["exon"]
     features = materialized(features)
     t = mapping.transcripts(features, mapping.intron_chains(features, exon_types), transcript_types)
     t = materialized(t)
@@ -176,11 +192,15 @@ def benchmark_features(features: DataFrame, config: LabelConfig, metrics: Iterab
 
 
 def benchmark_gff(spark: SparkSession, gt_path: str, pred_paths: dict[str, str], config: LabelConfig, exclude: Iterable[str] = (), **options) -> Evaluation:
-    """Each file is scanned by one reader, and predictors are one table."""
+    """Each file is scanned by one reader, and predictors are one table. Files that can't be read are an error, odd lines a warning."""
     exclude = list(exclude)
-    features = gff.read(spark, gt_path, "gt", exclude)
-    for name, path in pred_paths.items():
-        if name == "gt":
-            raise ValueError("a predictor can't be named gt")
-        features = features.unionByName(gff.read(spark, path, name, exclude))
-    return benchmark_features(features, config, **options)
+    if "gt" in pred_paths:
+        raise ValueError("a predictor can't be named gt")
+    unknown = set(options.get("own_exon_types") or ()) - {"gt", *pred_paths}
+    if unknown:
+        raise ValueError(f"exon types for {', '.join(sorted(unknown))}, which is no predictor")
+    parts = []
+    for name, path in {"gt": gt_path, **pred_paths}.items():
+        gff.inspect(spark, path)
+        parts.append(gff.read(spark, path, name, exclude))
+    return benchmark_features(reduce(DataFrame.unionByName, parts), config, **options)

@@ -101,6 +101,25 @@ FEATURES = """
 , bpl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seqid, strand, locus, predictor ORDER BY score DESC, gs, ge, go, po) AS r FROM pairs WHERE score > 0) WHERE r = 1)
 """
 
+#: All one-to-one assignments of a locus, reference by reference; the best total wins, of equal ones that with the earlier pairs.
+FULL = """
+, fp AS (SELECT *, CAST(round(score * 1000000000) AS BIGINT) AS pts, row_number() OVER w AS k, count(*) OVER (PARTITION BY seqid, strand, locus, predictor) AS n, dense_rank() OVER (PARTITION BY seqid, strand, locus, predictor ORDER BY gs, ge, go) AS gr
+    FROM pairs WHERE score > 0 WINDOW w AS (PARTITION BY seqid, strand, locus, predictor ORDER BY gs, ge, go, po))
+, fl AS (SELECT seqid, strand, locus, predictor, max(gr) AS m FROM fp GROUP BY 1, 2, 3, 4)
+, fw AS (
+  SELECT seqid, strand, locus, predictor, m, CAST(0 AS BIGINT) AS gr, CAST([] AS VARCHAR[]) AS used, CAST([] AS BIGINT[]) AS ks, CAST(0 AS BIGINT) AS pts, CAST(0 AS DOUBLE) AS early FROM fl
+  UNION ALL
+  SELECT w.seqid, w.strand, w.locus, w.predictor, w.m, w.gr + 1, CASE WHEN x.k IS NULL THEN w.used ELSE list_append(w.used, x.pred_id) END, CASE WHEN x.k IS NULL THEN w.ks ELSE list_append(w.ks, x.k) END,
+         w.pts + coalesce(x.pts, 0), w.early + coalesce(pow(0.5, x.k), 0)
+  FROM fw w JOIN (SELECT seqid, strand, locus, predictor, gr, k, pred_id, pts FROM fp UNION ALL SELECT DISTINCT seqid, strand, locus, predictor, gr, NULL, NULL, NULL FROM fp) x
+    ON x.seqid = w.seqid AND x.strand = w.strand AND x.locus = w.locus AND x.predictor = w.predictor AND x.gr = w.gr + 1
+  WHERE x.k IS NULL OR NOT list_contains(w.used, x.pred_id)
+), fb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seqid, strand, locus, predictor ORDER BY pts DESC, early DESC) AS r FROM fw WHERE gr = m) WHERE r = 1)
+, fd AS (SELECT p.* FROM fp p JOIN fb b ON b.seqid = p.seqid AND b.strand = p.strand AND b.locus = p.locus AND b.predictor = p.predictor AND list_contains(b.ks, p.k))
+, fu AS (SELECT t.* FROM tr t WHERE t.source <> 'gt' AND NOT EXISTS (SELECT 1 FROM fd WHERE fd.predictor = t.source AND fd.seqid = t.seqid AND fd.strand = t.strand AND fd.pred_id = t.id))
+, fm AS (SELECT t.* FROM tr t WHERE t.source = 'gt' AND NOT EXISTS (SELECT 1 FROM fd WHERE fd.seqid = t.seqid AND fd.strand = t.strand AND fd.gt_id = t.id))
+"""
+
 
 def prf(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> str:
     p, r = f"coalesce({tp} / nullif({tp} + {fp}, 0), 0)", f"coalesce({tp} / nullif({tp} + {fn}, 0), 0)"
@@ -213,6 +232,25 @@ c AS (SELECT predictor, count(*) FILTER (g = 1 AND h = 1) AS tp, count(*) FILTER
   SELECT b.predictor, b.seqid, b.strand, b.gt_id, 'gt' AS side, greatest(x.s, gs) - gs AS lo, least(x.e, ge) - gs AS hi FROM bpl b JOIN exon x ON x.source = 'gt' AND x.seqid = b.seqid AND x.parent = b.gt_id WHERE x.s <= ge AND x.e >= gs
   UNION ALL SELECT b.predictor, b.seqid, b.strand, b.gt_id, 'pred', greatest(x.s, gs) - gs, least(x.e, ge) - gs FROM bpl b JOIN exon x ON x.source = b.predictor AND x.seqid = b.seqid AND x.parent = b.pred_id WHERE x.s <= ge AND x.e >= gs
 ), p AS (SELECT DISTINCT predictor, seqid, strand, gt_id, side, unnest(range(lo, hi + 1)) AS p FROM k) SELECT predictor, side, count(*) AS bases, CAST(sum(p) AS BIGINT) AS checksum FROM p GROUP BY 1, 2""",
+    "global_gene_full": f"""WITH RECURSIVE {BASE}{FEATURES}{FULL}, c AS (SELECT q.predictor, (SELECT count(*) FROM lo WHERE source = 'gt') AS n_ref, (SELECT count(*) FROM lo WHERE source = q.predictor) AS n_pred,
+ (SELECT count(DISTINCT (t.seqid, t.strand, t.locus)) FROM tl t JOIN fd b ON b.predictor = q.predictor AND b.seqid = t.seqid AND b.strand = t.strand AND b.gt_id = t.id WHERE t.source = 'gt') AS matched_gt,
+ (SELECT count(DISTINCT (t.seqid, t.strand, t.locus)) FROM tl t JOIN fd b ON b.predictor = q.predictor AND b.seqid = t.seqid AND b.strand = t.strand AND b.pred_id = t.id WHERE t.source = q.predictor) AS matched_pred FROM ps q),
+ d AS (SELECT *, matched_pred / n_pred AS p, matched_gt / n_ref AS r FROM c) SELECT predictor, n_ref, n_pred, matched_gt, matched_pred, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM d""",
+    "painted_pairs_full": f"""WITH RECURSIVE {BASE}{FEATURES}{FULL}, fa AS (SELECT predictor, seqid, strand, gt_id, gs, ge, pred_id FROM fd UNION ALL SELECT source, seqid, strand, '__unmatched_pred__' || id, s, e, id FROM fu), k AS (
+  SELECT b.predictor, b.seqid, b.strand, b.gt_id, 'gt' AS side, greatest(x.s, gs) - gs AS lo, least(x.e, ge) - gs AS hi FROM fa b JOIN exon x ON x.source = 'gt' AND x.seqid = b.seqid AND x.parent = b.gt_id WHERE x.s <= ge AND x.e >= gs
+  UNION ALL SELECT b.predictor, b.seqid, b.strand, b.gt_id, 'pred', greatest(x.s, gs) - gs, least(x.e, ge) - gs FROM fa b JOIN exon x ON x.source = b.predictor AND x.seqid = b.seqid AND x.parent = b.pred_id WHERE x.s <= ge AND x.e >= gs
+), p AS (SELECT DISTINCT predictor, seqid, strand, gt_id, side, unnest(range(lo, hi + 1)) AS p FROM k) SELECT predictor, side, count(*) AS bases, CAST(sum(p) AS BIGINT) AS checksum FROM p GROUP BY 1, 2""",
+    "mapping_full_discovery": f"""WITH RECURSIVE {BASE}{FEATURES}{FULL}
+SELECT seqid, strand, gt_id, gs AS gt_start, ge AS gt_stop, false AS is_unmatched_prediction, predictor, pred_id, ps AS pred_start, pe AS pred_stop, mc AS match_class, ov AS base_overlap, round(f1, 9) AS junction_f1 FROM fd
+UNION ALL SELECT seqid, strand, id, s, e, false, '', '', -1, -1, '', -1, -1.0 FROM fm
+UNION ALL SELECT seqid, strand, '__unmatched_pred__' || id, s, e, true, source, id, s, e, 'overlapping', 0, 0.0 FROM fu""",
+    "unmatched_predictions": f"WITH RECURSIVE {BASE}{FEATURES}{FULL} SELECT seqid, strand, source AS predictor, id AS pred_id, s AS gt_start, e AS gt_stop FROM fu",
+    "global_transcript_full": f"WITH RECURSIVE {BASE}{FEATURES}{FULL}, c AS (SELECT q.predictor, (SELECT count(*) FROM fd WHERE fd.predictor = q.predictor) AS tp, (SELECT count(*) FROM fu WHERE fu.source = q.predictor) AS fp, (SELECT count(*) FROM tr WHERE source = 'gt') - (SELECT count(*) FROM fd WHERE fd.predictor = q.predictor) AS fn FROM ps q) SELECT predictor, tp, fp, fn, {prf()} FROM c",
+    "late_transitions": f"WITH {BASE}{POS}{EVENTS} SELECT predictor, count(*) FILTER (kind = 'late') AS n FROM ev WHERE kind IS NOT NULL GROUP BY 1",
+    "false_transition_targets": f"WITH {BASE}{POS}{EVENTS} SELECT predictor, kind, col AS target, count(*) AS n FROM ev WHERE kind IN ('premature', 'spurious') GROUP BY 1, 2, 3",
+    "array_pair_confusion": f"WITH {BASE}{POS} SELECT predictor, gl AS gt, pl AS pred, count(*) AS n FROM pos GROUP BY 1, 2, 3",
+    "individual_nucleotide": f"WITH {BASE}{POS}, c AS (SELECT predictor, CAST(o AS VARCHAR) AS seq_id, {CONF} GROUP BY 1, 2) SELECT *, {prf()} FROM c",
+    "exon_arrays": f"WITH {BASE}{FEATURES} SELECT t.id || '_' || t.strand AS seq_id, t.e - t.s + 1 AS n, x.s - t.s AS lo, x.e - t.s AS hi FROM tr t JOIN exon x ON x.source = 'gt' AND x.parent = t.id WHERE t.source = 'gt'",
     "gff3_parse": f"WITH {BASE}{FEATURES}, f AS (SELECT source, seqid, 'mRNA' AS type, s, e, strand, id AS gff_id, NULL AS parent FROM tr UNION ALL SELECT source, seqid, 'exon', s, e, strand, NULL, parent FROM exon) SELECT source, seqid, type, s AS start, e AS stop, strand, gff_id, parent FROM f",
     "gtf_parse": f"WITH {BASE}{FEATURES}, f AS (SELECT source, seqid, 'mRNA' AS type, s, e, strand, id AS gff_id FROM tr UNION ALL SELECT source, seqid, 'exon', s, e, strand, parent FROM exon) SELECT source, seqid, type, s AS start, e AS stop, strand, gff_id, gff_id AS parent FROM f",
 }

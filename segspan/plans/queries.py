@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import FIVE_ROLES, LabelConfig, LocusMatching
 from ..operators import annotation, mapping, perbase, runs, sections, structure
-from ..sources import fixtures, gff
+from ..sources import arrays, fixtures, gff
 from . import oracle
 
 BY = ["predictor"]
@@ -244,6 +244,16 @@ def false_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _transitions(spark, sf_dir).where("kind <> 'gt'")
 
 
+@query
+def late_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perbase.late_total(_transitions(spark, sf_dir), BY)
+
+
+@query
+def false_transition_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perbase.false_by_target(_transitions(spark, sf_dir), BY)
+
+
 @query
 def stable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perbase.stable_counts(_runs(spark, sf_dir), BY)
@@ -289,7 +299,9 @@ def mapping_best_per_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mapping_full_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_mapped(spark, sf_dir, LocusMatching.FULL_DISCOVERY))
+    """References without a match have empty names and -1."""
+    rows = rounded(_mapped(spark, sf_dir, LocusMatching.FULL_DISCOVERY))
+    return rows.fillna("", ["predictor", "pred_id", "match_class"]).fillna(-1, ["pred_start", "pred_stop", "base_overlap", "junction_f1"])
 
 
 @query
@@ -301,8 +313,18 @@ def unmatched_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def painted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, g, p = _annotations(spark, sf_dir)
     best = mapping.mapping(g, p, LocusMatching.BEST_PER_LOCUS)
-    own = best.select("seqid", "strand", "gt_id", "predictor")
-    cover = mapping.painted(best, f, _predictors(spark), EXON).join(own, ["predictor", "seqid", "strand", "gt_id"], "left_semi")
+    return _painted(best, f, _predictors(spark))
+
+
+@query
+def painted_pairs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, g, p = _annotations(spark, sf_dir)
+    return _painted(mapping.mapping(g, p, LocusMatching.FULL_DISCOVERY).where("pred_id is not null"), f, _predictors(spark))
+
+
+def _painted(mapped: DataFrame, features: DataFrame, predictors: DataFrame) -> DataFrame:
+    own = mapped.select("seqid", "strand", "gt_id", "predictor")
+    cover = mapping.painted(mapped, features, predictors, EXON).join(own, ["predictor", "seqid", "strand", "gt_id"], "left_semi")
     return cover.groupBy("predictor", "side").agg(F.sum(perbase.length()).cast("long").alias("bases"), F.sum(F.expr("cast((lo + hi) * (hi - lo + 1) / 2 as long)")).alias("checksum"))
 
 
@@ -326,12 +348,42 @@ def global_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(annotation.transcript(_mapped(spark, sf_dir, LocusMatching.BEST_PER_LOCUS), _predictors(spark)))
 
 
+@query
+def global_transcript_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(annotation.transcript(_mapped(spark, sf_dir, LocusMatching.FULL_DISCOVERY), _predictors(spark)))
+
+
+@query
+def global_gene_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, g, p = _annotations(spark, sf_dir)
+    return rounded(annotation.gene(g, p, mapping.mapping(g, p, LocusMatching.FULL_DISCOVERY)))
+
+
 @query
 def global_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, g, p = _annotations(spark, sf_dir)
     return rounded(annotation.gene(g, p, mapping.mapping(g, p, LocusMatching.BEST_PER_LOCUS)))
 
 
+@query
+def array_pair_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides as dense arrays, read as array pairs."""
+    cells = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "hi", "label"))), lambda r: F.array_repeat(r["label"], r["hi"] - r["lo"] + 1)))
+    dense = _runs(spark, sf_dir).groupBy(*runs.SIDE).agg(cells.alias("labels"))
+    pairs = dense.groupBy("predictor", "seq_id").agg(*[F.max(F.when(F.col("side") == s, F.col("labels"))).alias(s) for s in ("gt", "pred")])
+    return perbase.label_confusion(runs.overlay(arrays.runs(pairs)), BY)
+
+
+@query
+def individual_nucleotide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(perbase.nucleotide(_pieces(spark, sf_dir), FIVE_ROLES, ["predictor", "seq_id"]))
+
+
+@query
+def exon_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gff.exon_arrays(fixtures.features(spark, sf_dir).where("source = 'gt'"), MRNA).select("seq_id", *[F.col(c).cast("long").alias(c) for c in ("n", "lo", "hi")])
+
+
 def _parsed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """The derived annotations written as lines and parsed again."""
     f = fixtures.features(spark, sf_dir)

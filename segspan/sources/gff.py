@@ -7,6 +7,7 @@ features: source, ord, seqid, type, start, stop, strand, gff_id, parent; coordin
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -57,6 +58,28 @@ def read(spark: SparkSession, path: str, source: str, exclude: Iterable[str] = (
     return parse(spark.read.text(path), annotation_format(path), source, exclude)
 
 
+def inspect(spark: SparkSession, path: str) -> dict[str, int]:
+    """Counts of a file's lines: features, short ones (under nine columns), those without coordinates. One scan.
+
+    A path that can't be read, or lines of which none is a feature, raise a RuntimeError; short lines and missing
+    coordinates give a warning each.
+    """
+    try:
+        rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("c"))
+        whole = F.size("c") >= 9
+        placed = F.get("c", 3).try_cast("long").isNotNull() & F.get("c", 4).try_cast("long").isNotNull()
+        n = rows.agg(F.count_if(whole).alias("features"), F.count_if(~whole).alias("short"), F.count_if(whole & ~placed).alias("unplaced")).first().asDict()
+    except Exception as e:
+        raise RuntimeError(f"{path} can't be read as an annotation") from e
+    if n["short"] and not n["features"]:
+        raise RuntimeError(f"{path} is no annotation: no line has nine columns")
+    if n["short"]:
+        warnings.warn(f"{path}: {n['short']} lines with fewer than nine columns are left out", stacklevel=2)
+    if n["unplaced"]:
+        warnings.warn(f"{path}: {n['unplaced']} features without coordinates are not evaluated", stacklevel=2)
+    return n
+
+
 def lines(features: DataFrame) -> DataFrame:
     """GFF3 lines (ord, value) of features."""
     attributes = F.concat_ws(";", F.when(F.col("gff_id").isNotNull(), F.concat(F.lit("ID="), "gff_id")), F.when(F.col("parent").isNotNull(), F.concat(F.lit("Parent="), "parent")))

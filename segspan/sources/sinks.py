@@ -11,10 +11,10 @@ from ..config import LabelConfig
 
 
 def write_mapping(mapped: DataFrame, path: str) -> None:
-    """A folder with one TSV file of 13 columns; rows without a match have empty cells, junction_f1 four decimals."""
+    """A folder of TSV files of 13 columns, one for a small mapping, sorted within and among them; rows without a match have empty cells, junction_f1 four decimals."""
     names = {"gt_stop": "gt_end", "pred_stop": "pred_end"}
     rows = mapped.withColumn("junction_f1", F.when(F.col("predictor").isNotNull(), F.format_string("%.4f", "junction_f1"))).withColumnsRenamed(names)
-    rows.orderBy("seqid", "strand", "gt_start", "gt_id", "predictor").coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    rows.orderBy("seqid", "strand", "gt_start", "gt_id", "predictor").write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
 
 
 def to_json(results: dict, path: str | None = None) -> str:

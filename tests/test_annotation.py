@@ -98,6 +98,39 @@ def test_pair_classes(spark):
     assert all(r.got == r.want for r in df.select("want", mapping.pair_class(F.col("g"), F.col("p")).alias("got")).collect())
 
 
+def test_exon_types_of_single_sources(spark, files):
+    """The reference has `exon`, one predictor `CDS` (and misleading `exon` rows), the other is left alone."""
+    odd = PRED.replace("\texon\t", "\tCDS\t") + "\n" + row("chr1", "exon", 1, 5, "+", "Parent=a1")
+    (files / "cds.gff3").write_text(odd)
+    paths = {"a": str(files / "pred.gff3"), "c": str(files / "cds.gff3")}
+    out = benchmark_gff(spark, str(files / "gt.gff3"), paths, FIVE_ROLES, metrics=[Metric.NUCLEOTIDE_CLASSIFICATION], own_exon_types={"c": "CDS"}).nested()
+    for name in ("global_exon", "global_nucleotide", "nucleotide"):
+        assert out["a"][name] == out["c"][name]
+    with pytest.raises(ValueError, match="no predictor"):
+        benchmark_gff(spark, str(files / "gt.gff3"), paths, FIVE_ROLES, own_exon_types={"x": "CDS"})
+    assert cli.own_types(["exon"], ["c:CDS", "c:UTR"]) == {"gt": ["exon"], "c": ["CDS", "UTR"]}
+    with pytest.raises(SystemExit):
+        cli.own_types(None, ["CDS"])
+
+
+def test_odd_files(spark, tmp_path):
+    (tmp_path / "short.gff3").write_text(GT + "\nchr1\tx\texon\n" + row("chr1", "exon", ".", 9, "+", "Parent=m1"))
+    with pytest.warns(UserWarning) as seen:
+        assert gff.inspect(spark, str(tmp_path / "short.gff3")) == {"features": 9, "short": 1, "unplaced": 1}
+    assert sum("short.gff3" in str(w.message) for w in seen) == 2
+    (tmp_path / "no.gff3").write_text("just\nwords\n")
+    for name in ("no.gff3", "missing.gff3"):
+        with pytest.raises(RuntimeError, match=name):
+            gff.inspect(spark, str(tmp_path / name))
+
+
+def test_equal_totals_go_by_order():
+    import pandas as pd
+
+    rows = pd.DataFrame([("g1", "p1", 0.5), ("g1", "p2", 0.5), ("g2", "p1", 0.5), ("g2", "p2", 0.5), ("g3", "p9", 0.1)], columns=["gt_id", "pred_id", "score"])
+    assert mapping.best_pairs(rows).tolist() == [True, False, False, True, True]
+
+
 def test_cli(spark, files, capsys):
     cli.main(["init-config", str(files / "c.yaml")])
     assert sinks.read_config(str(files / "c.yaml")) == FIVE_ROLES
