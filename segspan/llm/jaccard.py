@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bytesop import chunks, lower_table, mix, shingles, word_hashes, word_table
 from .graph import components
-from .lots import merged_array
+from .lots import merged_array, planes
 from .store import Scratch
 
 SHINGLE = 5
@@ -121,7 +121,7 @@ def _sets_pass(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray
                 counts += np.bincount(np.concatenate(pool), minlength=len(counts)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid, mask=n == 0), pa.array(sketches, pa.binary()), pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], names=names)
         if counts.any():
-            data = [x.tobytes() for x in np.split(counts, blocks)]
+            data = [planes(x) for x in np.split(counts, blocks)]
             yield pa.RecordBatch.from_arrays([pa.nulls(blocks, id_type), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.binary()), pa.array(np.arange(blocks, dtype=np.int32)), pa.array(data, pa.binary())], names=names)
 
     both = scratch.put("sets", docs.mapInArrow(run, f"doc_id {kind}, n long, sid long, sketch binary, block int, data binary"))
@@ -542,12 +542,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             ends = close if round_ == 1 else todo.where("a is not null")
             ends = ends.select(F.col("a").alias("sid")).union(ends.select("b"))
             ends = (ends if round_ == 1 else ends.union(todo.select("b"))).distinct()
-            have = content
-            need = ends if have is None else ends.join(have.select("sid").hint("merge"), "sid", "left_anti")
-            need = scratch.put(f"need-{round_}", need.join(reps.select("sid", "rep").hint("merge"), "sid"))
-            content = scratch.put(f"content-{round_}", _needed_sets(texts, need, _filter_bits(need, need.count())))
-            if have is not None:
-                content = content.unionByName(have)
+            need = scratch.put(f"need-{round_}", ends.join(reps.select("sid", "rep").hint("merge"), "sid"))
+            content = _needed_sets(texts, need, _filter_bits(need, need.count()))
+            if round_ == 2:  # round 1 sends its sets on as they come
+                content = scratch.put("content", content)
             scratch.free()
         ends = close.select(F.col("a").alias("sid")).union(close.select("b")).distinct()
         sets_of = content if round_ == 1 else _passed(content, ends)

@@ -17,7 +17,7 @@ PACKED = "bucket int, data binary"
 #: Rows of a bucket and of a lot that is packed at once; rows from which a slot has no bucket.
 LOT, HOT = 1 << 19, 1 << 21
 #: Slots are the top bits of a hash.
-SLOTS_LOG2 = 20
+SLOTS_LOG2 = 18
 #: Parts of a counted array, and the groups that the tasks' parts are first summed in.
 BLOCKS, GROUPS = 64, 256
 
@@ -86,19 +86,28 @@ def counted(s: np.ndarray, counts: np.ndarray) -> None:
 
 def count_rows(counts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """(block, data) that a task sends for its counts."""
-    return np.arange(BLOCKS, dtype=np.int32), [x.tobytes() for x in np.split(counts, BLOCKS)]
+    return np.arange(BLOCKS, dtype=np.int32), [planes(x) for x in np.split(counts, BLOCKS)]
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: small counts are mostly zeros, which compress to nothing."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unplanes(data: bytes | pa.Buffer, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def merged_array(parts: DataFrame, op: Callable, kind: type) -> np.ndarray:
-    """Combine rows (block int, data binary) of equal blocks, in two steps; the result is as large as one array, whatever the input."""
+    """Combine rows (block int, data binary: planes of numbers) of equal blocks, in two steps; the result is as large as one array, whatever the input."""
 
     def fold(table: pa.Table) -> pa.Table:
         out = None
         for x in table.column("data"):
-            one = np.frombuffer(x.as_buffer(), kind)
-            out = one.copy() if out is None else op(out, one)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "data": [out.tobytes()]})
+            one = unplanes(x.as_buffer(), kind)
+            out = one if out is None else op(out, one)
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "data": [planes(out)]})
 
     some = parts.select("block", "data", F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("part")).groupBy("block", "part").applyInArrow(fold, "block int, data binary")
     rows = some.groupBy("block").applyInArrow(fold, "block int, data binary").collect()
-    return np.concatenate([np.frombuffer(r["data"], kind) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(0, kind)
+    return np.concatenate([unplanes(r["data"], kind) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(0, kind)
