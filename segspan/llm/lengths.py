@@ -14,7 +14,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .store import small_batches
+from .store import Scratch, small_batches
 
 #: Where the public vocabularies are on the driver; a parameter of `token_lengths`.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -86,7 +86,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """limit, kept_tokens, cut_docs for any context limits, whether or not a document has that length."""
+    """limit, kept_tokens, cut_docs for any context limits, whether or not a document has that length.
+
+    Defined cases: equal limits give equal rows; an empty histogram gives 0 for each limit.
+    """
     spark = histogram.sparkSession
     at = spark.createDataFrame([(int(x),) for x in limits], "limit long")
     sums = [F.sum(F.least("n_tokens", F.lit(int(x))) * F.col("n_docs")).alias(f"k{i}") for i, x in enumerate(limits)]
@@ -97,7 +100,11 @@ def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
-    """share, n_tokens: the smallest length that at least this share of the documents does not exceed."""
+    """share, n_tokens: the smallest length that at least this share of the documents does not exceed.
+
+    Defined cases: a share of 0 gives the smallest length, a share over 1 no row; equal shares give one row; an empty
+    frame of sums gives an empty frame.
+    """
     spark = sums.sparkSession
     at = spark.createDataFrame([(float(x),) for x in shares], "share double")
     return sums.join(F.broadcast(at), F.col("share_at_most") >= F.col("share")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
@@ -109,4 +116,6 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
     Defined cases: null and empty texts count as documents of 0 tokens; repeated rows each count; an
     empty table gives an empty frame; strings of special tokens are ordinary text; other columns are not read.
     """
-    return suffix_sums(length_histogram(token_lengths(docs, text, vocabulary)))
+    scratch = Scratch(docs.sparkSession, "lengths")
+    # Written once: the suffix sums read it twice, and no text is encoded again.
+    return suffix_sums(scratch.put("histogram", length_histogram(token_lengths(docs, text, vocabulary))))
