@@ -8,7 +8,9 @@ a source is dealt into key ranges, and only one row per range meets in a window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from .store import Scratch
 
 #: Leading hex digits of a key that name its range: 16**3 ranges a source.
 RANGE_DIGITS = 3
@@ -63,19 +65,28 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     source is its target rounded down. Equal seeds give equal mixes.
 
     Defined cases: a null or empty text has size 0 and takes 0; a null source is a source of its own,
-    last in order; a null doc_id has the key of the empty string; repeated rows follow one another and
-    are taken one by one; an empty table gives an empty frame; other columns are not read.
+    last in order; a null doc_id counts as the empty string in the key, so rows without an id still spread by their
+    texts; equal rows follow one another and are taken one by one; an empty table gives an empty frame; other columns
+    are not read.
     """
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    words_of = F.coalesce(F.col(text), F.lit(""))
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("/"), F.md5(words_of)))
     whole = [F.struct(*[docs[c] for c in docs.columns]).alias(rows_as)] if rows_as else []
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("key"), word_count(F.col(text)).alias("size"), *whole)
     rows = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    # One pass over the texts: everything after it works on these four short columns.
+    order = ["key", "doc_id", "size"]
+    if rows_as:
+        plain = [F.col(f"{rows_as}.`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+        rows = rows.withColumn("tie", F.xxhash64(*plain))
+        order.append("tie")
+    else:
+        # One pass over the texts: everything after it reads these short columns.
+        rows = Scratch(docs.sparkSession, "mixing").put("sizes", rows)
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("size"))
     starts = ranges.withColumn("before", F.sum("size").over(W.partitionBy("source").orderBy("range")) - F.col("size"))
     starts = starts.select(F.col("source").alias("s"), F.col("range").alias("r"), "before")
     targets = source_targets(ranges, weights, cap).withColumnRenamed("source", "t")
-    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = (
         rows.withColumn("upto", F.sum("size").over(inside))
         .join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
@@ -91,7 +102,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 
 ORACLE = """
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS key,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size
   FROM {docs}
 ), per AS (
