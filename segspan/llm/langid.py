@@ -25,7 +25,7 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Filters:
-    """Slots of language bits: `slots[i] >> l & 1` says that some n-gram of language l has slot i."""
+    """Slots of language bits: bit l of slot i says that some n-gram of language l has slot i. Languages share words of `slots.itemsize` bytes, one row a word."""
 
     languages: tuple[str, ...]
     slots: np.ndarray
@@ -33,15 +33,19 @@ class Filters:
     false_rate: np.ndarray
     prior: int
 
+    @property
+    def bits(self) -> int:
+        return 8 * self.slots.itemsize
+
     def masks(self, keys: np.ndarray) -> np.ndarray:
-        """The language bits of each n-gram."""
-        top = np.uint64(len(self.slots) - 1)
+        """The language bits of each n-gram, one row a word of languages."""
+        top = np.uint64(self.slots.shape[-1] - 1)
         h = mix(keys.astype(np.uint64) + np.uint64(1))
         step = (h >> np.uint64(32)) | np.uint64(1)
-        out = self.slots[h & top]
+        out = self.slots[..., h & top]
         for _ in range(self.hashes - 1):
             h = h + step
-            out = out & self.slots[h & top]
+            out = out & self.slots[..., h & top]
         return out
 
 
@@ -78,18 +82,21 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 400, per_filter: int = 20_000, least: int = 3, rival: float = 0.25, slots_log2: int = 18, hashes: int = 4) -> Filters:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 400, least: int = 3, rival: float = 0.25, slots_log2: int = 18, hashes: int = 4) -> Filters:
     """Learn the filters from labelled rows outside the held-out fold.
 
-    Reads a bounded sample: of each language the rows whose ids hash lowest, `per_language` in expectation. An n-gram
+    Reads a bounded sample: of each language the rows whose id and text hash lowest, `per_language` in expectation. An n-gram
     enters a language's filter if it occurs `least` times there and its share is at least `rival` times
-    its share in any other language; the `per_filter` most frequent stay. Only they come to the driver.
-    With at most 64 languages one slot is one machine word.
+    its share in any other language. Only these come to the driver, and the sample bounds them. There are at least
+    2**`slots_log2` slots, and eight for each n-gram of the largest filter.
+
+    Defined cases: rows without a label or a text teach nothing; any number of languages is learnt; without labelled
+    rows the model knows no language.
     """
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id)))
     sizes = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    key = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 32)) / float(1 << 32)
+    key = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id), F.col(text)), F.lit(1 << 32)) / float(1 << 32)
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col(lang) == name, min(1.0, per_language / n)).otherwise(share)
@@ -108,22 +115,22 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = grams.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("lang"))).withColumn("most", F.max("share").over(W.partitionBy("gram")))
     grams = grams.where((F.col("n") >= least) & (F.col("share") >= rival * F.col("most")))
-    grams = grams.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= per_filter)
     rows = grams.groupBy("lang").agg(F.collect_list("gram").alias("grams")).orderBy("lang").collect()
 
     languages = tuple(r["lang"] for r in rows)
-    if len(languages) > 64:
-        raise ValueError("a slot holds 64 languages at most")
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    model = Filters(languages, np.zeros(1 << slots_log2, kind), hashes, np.zeros(len(languages)), int(np.argmax([sizes[x] for x in languages])) if rows else -1)
-    top = np.uint64(len(model.slots) - 1)
+    bits = 8 * np.dtype(kind).itemsize
+    slots = 1 << max(slots_log2, (8 * max((len(r["grams"]) for r in rows), default=1) - 1).bit_length())
+    model = Filters(languages, np.zeros((-(-len(languages) // bits), slots), kind), hashes, np.zeros(len(languages)), int(np.argmax([sizes[x] for x in languages])) if rows else -1)
+    top = np.uint64(slots - 1)
     for k, r in enumerate(rows):
+        own, bit = model.slots[k // bits], kind(k % bits)
         h = mix(np.array(r["grams"], dtype=np.uint64) + np.uint64(1))
         step = (h >> np.uint64(32)) | np.uint64(1)
         for _ in range(hashes):
-            model.slots[h & top] |= kind(1 << k)
+            own[h & top] |= kind(1) << bit
             h = h + step
-        model.false_rate[k] = np.mean((model.slots >> kind(k)) & kind(1)) ** hashes
+        model.false_rate[k] = np.mean((own >> bit) & kind(1)) ** hashes
     return model
 
 
@@ -140,7 +147,7 @@ def predict(model: Filters, column: pa.Array) -> tuple[list[str], np.ndarray, np
         sizes[i:j] = n
         counts = np.zeros((len(model.languages), j - i))
         for k, rate in enumerate(model.false_rate):
-            hit = np.concatenate([[0], np.cumsum((masks >> kind(k)) & kind(1), dtype=np.int64)])
+            hit = np.concatenate([[0], np.cumsum((masks[k // model.bits] >> kind(k % model.bits)) & kind(1), dtype=np.int64)])
             counts[k] = np.maximum(0, (hit[bounds[1:]] - hit[bounds[:-1]] - n * rate) / (1 - rate))
         ascii_letters = np.concatenate([[0], np.cumsum(letters[b], dtype=np.int64)])
         has = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
@@ -183,6 +190,9 @@ def identified(docs: DataFrame, model: Filters, least: float, text: str = "text"
     """The rows of `docs`, with all their columns, that have letters and a score of at least `least`.
 
     A text too short for a single n-gram can't be judged and stays.
+
+    Defined cases: null texts and texts without letters go; repeated rows are judged alike; an empty table stays empty;
+    other columns, of any name, are carried along.
     """
     at = docs.columns.index(text)
 
