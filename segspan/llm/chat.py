@@ -7,10 +7,8 @@ All steps are native.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Turn numbers that share a part; a part is one row, so no row and no group grows with a conversation.
-PART_TURNS_LOG2 = 8
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -19,54 +17,44 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
 
-def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: str = "system") -> DataFrame:
-    """conv_id, speaker, part, n_turns, text, masks (array of start, end in code points of the part's text).
+def named(role: Column) -> Column:
+    """A role for one line of a header: backslashes doubled, line feeds as `\\n`, markers escaped; it can be undone."""
+    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
 
-    A dialogue is the concatenation of its parts in order; part p holds turn numbers 256p to 256p+255, so
-    nearly every dialogue is part 0 alone and a huge one stays many bounded rows. Turns of one number are
-    ordered by role, then text. A mask covers the speaker's text and its end marker.
+
+def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: str = "system", part_turns: int | None = None) -> DataFrame:
+    """conv_id, speaker, part, n_turns, text, masks (array of start, end in code points of the text).
+
+    A dialogue is one row for each participant, with part 0. As a row has at most 2 GB, a dialogue beyond that needs
+    `part_turns`: part p then holds the turn numbers from p times as many, and masks count from the part's start. Turns of
+    one number are ordered by role, then text. A mask covers the speaker's text and its end marker. Where a turn begins is
+    summed once a conversation, with all under their names; a speaker's own headers shift it by a fixed length each.
 
     Defined cases: a null role is the speaker `unknown`; the system role is no participant and is rendered as
     such for each; a conversation without participants gives no row; a null text is an empty turn; a null turn
-    number is part null, before all others; a null conv_id is a conversation of its own; repeated rows are
-    repeated turns; an empty table gives an empty frame; other columns are not read.
+    number comes before all others (in a part of its own, null, with `part_turns`); a null conv_id is a conversation of
+    its own; repeated rows are repeated turns; an empty table gives an empty frame; other columns are not read.
     """
-    rows = turns.select(
-        F.col(conv).alias("conv_id"),
-        F.shiftright(F.col(turn).cast("long"), PART_TURNS_LOG2).alias("part"),
-        F.struct(
-            F.col(turn).cast("long").alias("turn"),
-            F.coalesce(F.col(role), F.lit("unknown")).alias("role"),
-            escaped(F.coalesce(F.col(text), F.lit(""))).alias("text"),
-        ).alias("t"),
-    )
-    speakers = rows.where(F.col("t.role") != system).select(F.col("conv_id").alias("c"), F.col("t.role").alias("speaker")).distinct()
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    number = F.col(turn).cast("long")
+    part = F.lit(0).cast("long") if part_turns is None else F.floor(number / part_turns).cast("long")
+    who = F.coalesce(F.col(role), F.lit("unknown"))
+    rows = turns.select(F.col(conv).alias("conv_id"), part.alias("part"), number.alias("turn"), who.alias("role"), escaped(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    head = F.when(F.col("role") == system, f"{START}system\n").otherwise(F.concat(F.lit(f"{START}user name="), named(F.col("role")), F.lit("\n")))
+    rows = rows.withColumn("head", head).withColumn("size", (F.length("head") + F.length("text") + len(END) + 1).cast("long"))
+    before = W.partitionBy("conv_id", "part").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
+    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("at", "role", "head", "text"))).alias("turns"))
+    speakers = rows.where(F.col("role") != system).select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
     both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c")))
+    mine = f"{START}assistant\n"
+    own = lambda t: t["role"] == F.col("speaker")
+    pieces = F.transform("turns", lambda t: F.concat(F.when(own(t), mine).otherwise(t["head"]), t["text"], F.lit(f"{END}\n")))
+
+    def mask(t: Column, k: Column) -> Column:
+        start = t["at"] + k * (len(mine) - F.length(t["head"])) + len(mine)
+        return F.struct(start.alias("start"), (start + F.length(t["text"]) + len(END)).alias("end"))
 
-    def head(t: Column) -> Column:
-        own, sys = t["role"] == F.col("speaker"), t["role"] == system
-        return F.when(own, f"{START}assistant\n").when(sys, f"{START}system\n").otherwise(F.concat(F.lit(f"{START}user name="), escaped(t["role"]), F.lit("\n")))
-
-    pieces = F.transform("turns", lambda t: F.struct((t["role"] == F.col("speaker")).alias("own"), F.length(head(t)).alias("h"), F.length(t["text"]).alias("n"), F.concat(head(t), t["text"], F.lit(f"{END}\n")).alias("s")))
-    end = len(END)
-    spans = F.aggregate(
-        "pieces",
-        F.expr("named_struct('at', 0L, 'spans', cast(array() as array<struct<start:bigint,end:bigint>>))"),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["h"] + p["n"] + end + 1).alias("at"),
-            F.when(p["own"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["h"]).alias("start"), (acc["at"] + p["h"] + p["n"] + end).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return both.withColumn("pieces", pieces).select(
-        "conv_id",
-        "speaker",
-        "part",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("text"),
-        spans.alias("masks"),
-    )
+    return both.select("conv_id", "speaker", "part", F.size("turns").cast("long").alias("n_turns"), F.array_join(pieces, "").alias("text"), F.transform(F.filter("turns", own), mask).alias("masks"))
 
 
 def mask_text(masks: Column) -> Column:
@@ -76,7 +64,7 @@ def mask_text(masks: Column) -> Column:
 
 ORACLE = r"""
 WITH t AS (
-  SELECT conv_id, turn, CAST(floor(turn / 256.0) AS BIGINT) AS part, coalesce(role, 'unknown') AS role,
+  SELECT conv_id, turn, CAST(0 AS BIGINT) AS part, coalesce(role, 'unknown') AS role,
          regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS text
   FROM conversations
 ), speakers AS (
@@ -84,7 +72,7 @@ WITH t AS (
 ), pieces AS (
   SELECT t.conv_id, s.speaker, t.part, t.turn, t.role, t.text, t.role = s.speaker AS own,
          CASE WHEN t.role = s.speaker THEN '<|im_start|>assistant' || chr(10) WHEN t.role = 'system' THEN '<|im_start|>system' || chr(10)
-              ELSE '<|im_start|>user name=' || regexp_replace(t.role, '<(\\*)\|', '<\\\1|', 'g') || chr(10) END AS head
+              ELSE '<|im_start|>user name=' || regexp_replace(replace(replace(t.role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') || chr(10) END AS head
   FROM t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), placed AS (
   SELECT *, row_number() OVER w AS k, sum(length(head) + length(text) + 11) OVER w - (length(head) + length(text) + 11) AS pos

@@ -44,7 +44,7 @@ def corpus(seed=1, n=60):
 
 def odd_columns(df):
     """The frame with extra columns that clash with names the operators use inside."""
-    for c in ("doc", "seed", "name", "start", "size", "sid", "rep", "n", "pivot", "ranges", "spans", "range", "key", "taken", "q", "term", "score", "component_id", "items", "h", "l", "t", "s"):
+    for c in ("doc", "seed", "name", "start", "size", "sid", "rep", "n", "pivot", "ranges", "spans", "range", "key", "taken", "q", "term", "score", "component_id", "items", "h", "l", "t", "s", "row", "d0", "tie", "__doc", "__spans", "__first", "__n"):
         df = df.withColumn(c, F.lit(f"own {c}"))
     return df
 
