@@ -41,7 +41,7 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPE = frozenset("ul ol dl table".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|iframe|object|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<odd>[/!?a-zA-Z])[^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<code>script|style)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=code)\s*>|\Z)|<(?P<raw>noscript|template|textarea|title|iframe|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?</(?P=raw)\s*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<odd>[/!?a-zA-Z])[^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -238,6 +238,9 @@ class Labeller:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_column: str = "html", model: Path = MODEL) -> DataFrame:
     """page_id, url, text, n_chars for every row of `pages`: the blocks labelled as article, joined by one space.
 
+    Only scripts and styles, and closed elements that show no text of the page (noscript, template, textarea, title,
+    iframe, select), never reach the labeller; what formulas, drawings and objects contain is text of their block.
+
     Defined cases: a null or empty page has an empty text; a page without tags is one block; unclosed tags
     end with the page; repeated rows each get a row; an empty table gives an empty frame; other columns are
     not read. Pages are labelled whole, some hundred at a time.
