@@ -13,6 +13,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Each step sends a node's neighbours to its smallest one; after at most a few log-many rounds every
     component is a star. Only two sums of the edge set come to the driver. Minima are combined before
     the shuffle, and a hot node is one row of the smaller join side.
+
+    Defined cases: loops and nodes without an edge to another one are not in the result; repeated edges count once; no
+    edges give an empty frame.
     """
     both = lambda e: e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("segspan.scratch.dir", None)
     if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="segspan-")
+        own = tempfile.mkdtemp(prefix="segspan-")
+        atexit.register(shutil.rmtree, own, True)
+        own = "file://" + own
         spark.conf.set("segspan.scratch.dir", own)
     return own
 
