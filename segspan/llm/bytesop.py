@@ -16,7 +16,16 @@ CHUNK_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POWERS: dict[str, np.ndarray] = {}
+
+
+class _Local(dict):
+    """A cache that stays in its process: functions that use it travel with an empty one."""
+
+    def __reduce__(self):
+        return _Local, ()
+
+
+_POWERS: dict[str, np.ndarray] = _Local()
 
 
 def lower_table() -> np.ndarray:

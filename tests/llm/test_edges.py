@@ -4,8 +4,9 @@ import random
 
 import pytest
 from helpers import SCHEMA, corpus, odd_columns, prose, table
+from pyspark import cloudpickle
 
-from segspan.llm import chaining, chat, decontam, htmlblocks, jaccard, langid, lengths, mixing, search, suffix
+from segspan.llm import bytesop, chaining, chat, decontam, htmlblocks, jaccard, langid, lengths, mixing, search, suffix
 
 BENCH = "item_id long, text string"
 OPERATORS = {
@@ -118,3 +119,9 @@ def test_mix_spreads_rows_without_id(spark):
         taken[x.source] = taken.get(x.source, 0) + x.taken
         assert x.taken <= 3 * x.size
     assert taken == {"a": 400, "b": 300}
+
+
+def test_functions_travel_without_the_caches_of_the_driver():
+    bytesop.powers(10)
+    for run in (chaining._picks, jaccard.document_sets, decontam.contamination):
+        assert len(cloudpickle.dumps(run)) < 1 << 18
