@@ -63,8 +63,8 @@ CORE, HOT_FLAG = 1, 2
 TODO = "a long, b long, pivot long, m long, ca long, cb long, lo double, hi double, region long, ka long, kb long"
 #: A region's possible pairs are measured at once if they are so many a member.
 AT_ONCE = 16
-#: Bits a key and the most bits of the filter that says which sets are needed.
-FILTER_BITS, FILTER_MOST_LOG2 = 16, 27
+#: Bits a key and the most bits of the filter that says which sets are needed, and the bits that each key sets.
+FILTER_BITS, FILTER_MOST_LOG2, PROBES = 16, 27, 2
 
 
 def document_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -315,10 +315,21 @@ def _bundled(close: DataFrame, content: DataFrame) -> DataFrame:
     return rows.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key, "streams", "sid", F.col("other").asc_nulls_first())
 
 
+def _spots(sid: np.ndarray, rep: np.ndarray, size: int) -> np.ndarray:
+    """The places of (sid, rep) in a filter of `size` bits, one column a probe."""
+    h = mix(sid.view(np.uint64) + mix(rep.view(np.uint64)))
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(h + np.uint64(k) * step) & np.uint64(size - 1) for k in range(PROBES)], -1).astype(np.int64)
+
+
+def _in_filter(bits: np.ndarray, sid: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    at = _spots(sid, rep, len(bits) * 8)
+    return ((bits[at >> 3] >> (at & 7)) & 1).all(-1)
+
+
 def _needed_sets(docs: DataFrame, need: DataFrame, bits: np.ndarray) -> DataFrame:
     """sid, set for the sets in `need` (sid, rep), each from the document rep; the filter passes few others."""
     bc = docs.sparkSession.sparkContext.broadcast(bits)
-    top = np.uint64(len(bits) * 8 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
@@ -328,8 +339,7 @@ def _needed_sets(docs: DataFrame, need: DataFrame, bits: np.ndarray) -> DataFram
             for row, s in document_sets(batch.column(1)):
                 if not len(s) or ((sid := set_id(s)), known[row]) in seen:
                     continue
-                at = int(mix(np.array([sid], np.int64).view(np.uint64) + mix(np.array([known[row] or 0], np.int64).view(np.uint64)))[0] & top)
-                if bc.value[at >> 3] >> (at & 7) & 1:
+                if _in_filter(bc.value, np.array([sid], np.int64), np.array([known[row] or 0], np.int64))[0]:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add((sid, known[row]))
@@ -351,12 +361,11 @@ def _passed(content: DataFrame, need: DataFrame) -> DataFrame:
     """The rows of `content` that a filter over the sids of `need` passes: few others travel."""
     named = need.select("sid", F.lit(0).cast("long").alias("rep"))
     bc = content.sparkSession.sparkContext.broadcast(_filter_bits(named, named.count()))
-    top = np.uint64(len(bc.value) * 8 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = (mix(batch.column(0).to_numpy().view(np.uint64) + mix(np.zeros(1, np.uint64))) & top).astype(np.int64)
-            yield batch.filter(pa.array((bc.value[at >> 3] >> (at & 7)) & 1 > 0))
+            sid = batch.column(0).to_numpy()
+            yield batch.filter(pa.array(_in_filter(bc.value, sid, np.zeros(len(sid), np.int64))))
 
     return content.mapInArrow(run, "sid long, set binary")
 
@@ -369,9 +378,8 @@ def _filter_bits(need: DataFrame, n: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, np.uint8)
         for batch in batches:
-            sid = batch.column(0).to_numpy().view(np.uint64)
-            rep = np.array([x or 0 for x in batch.column(1).to_pylist()], np.int64).view(np.uint64)
-            at = (mix(sid + mix(rep)) & np.uint64(size * 8 - 1)).astype(np.int64)
+            rep = np.array([x or 0 for x in batch.column(1).to_pylist()], np.int64)
+            at = _spots(batch.column(0).to_numpy(), rep, size * 8).ravel()
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         if bits.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(bits, blocks)], pa.binary())], names=["block", "data"])
