@@ -532,8 +532,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets, counts = _sets_pass(texts, scratch)
     todo = scratch.put("pairs-1", _first_round(_region_rows(texts, counts, hot), bool((counts > hot).any()), scratch))
+    scratch.drop("regions")
     scratch.free()
     reps = scratch.put("reps", sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    ids = scratch.put("ids", sets.select("doc_id", "n", "sid"))
+    scratch.drop("sets")  # its sketches are in `reps`, one of equal ones
     side = lambda x: reps.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     links, content, round_ = None, None, 1
     all_reps = reps
@@ -574,13 +577,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         open_ = members.join(reps.select("sid", "sketch").hint("merge"), "sid").select("pivot", "sid", "m", "ca", "cb", "lo", "hi", "inner", "sketch")
         round_ += 1
         todo = scratch.put(f"pairs-{round_}", open_.repartition(F.col("pivot")).sortWithinPartitions("pivot").mapInArrow(_recurse, TODO))
+        for name in (f"pairs-{round_ - 1}", f"bounds-{round_ - 1}", f"need-{round_ - 1}"):
+            scratch.drop(name)
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
     roots = components(links, scratch).withColumnRenamed("node", "sid")
     labelled = all_reps.select("sid", "rep").join(roots.hint("merge"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component"))
     by_set = labelled.join(least.hint("merge"), "root").select("sid", "component")
-    out = sets.select("doc_id", "n", "sid").join(by_set.hint("merge"), "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = ids.join(by_set.hint("merge"), "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return scratch.keep("components", out)
 
 
