@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chaining, chat, decontam, htmlblocks, jaccard, langid, lengths, mixing, search, suffix
+from . import chaining, chat, decontam, htmlblocks, jaccard, langid, lengths, mixing, prefixtrie, radix, search, structrepair, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix.classes(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(prefixtrie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structrepair.digest(structrepair.repairs(structrepair.damaged(_table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,8 +76,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_jaccard_join, op4_chat_perspectives, op5_source_mix, op6_html_extraction, op7_suffix_array_dedup, op8_chained_passages, op9_top_k_search, op10_token_counts, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_jaccard_join, op4_chat_perspectives, op5_source_mix, op6_html_extraction, op7_suffix_array_dedup, op8_chained_passages, op9_top_k_search, op10_token_counts, op11_exact_dedup, op12_prefix_trie, op13_structure_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE, "op4_chat_perspectives": chat.ORACLE, "op5_source_mix": mixing.ORACLE.format(docs="documents"), "op9_top_k_search": search.ORACLE}
+    return {"op2_decontamination": decontam.ORACLE, "op4_chat_perspectives": chat.ORACLE, "op5_source_mix": mixing.ORACLE.format(docs="documents"), "op9_top_k_search": search.ORACLE, "op11_exact_dedup": radix.ORACLE, "op12_prefix_trie": prefixtrie.ORACLE, "op13_structure_repair": structrepair.ORACLE}

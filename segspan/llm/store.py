@@ -42,11 +42,17 @@ class Scratch:
         self.names: set[str] = set()
         small_batches(spark)
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        """Write the frame and read it again."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def put(self, name: str, df: DataFrame, schema: str | None = None, by: str | None = None) -> DataFrame:
+        """Write the frame and read it again. With `by`, a folder for each of its values, each of which can be dropped alone."""
+        out = df.write.mode("overwrite")
+        (out.partitionBy(by) if by else out).parquet(f"{self.path}/{name}")
         self.names.add(name)
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(f"{self.path}/{name}")
+
+    def bytes(self, name: str) -> int:
+        """Size of a written table on disk."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
     def free(self) -> None:
         """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver's JVM collects garbage."""
