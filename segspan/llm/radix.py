@@ -8,8 +8,8 @@ A round is two steps on one digit, a run of bytes:
 1. count the documents of each (group, digit), combined before the shuffle, so that a group of copies of any size
    sends one row a task; digits of several documents become the groups of the next round;
 2. give every document its new group. Single documents and ended texts are done; only the rest goes on, with the
-   bytes that are left. This is a merge join of two written tables, whose large partitions Spark splits, or a
-   broadcast where the groups are known to be few.
+   bytes that are left. This is a merge join of two written tables, whose large partitions Spark splits; in the first
+   round a broadcast where the groups are known to be few.
 
 Digits grow by a factor, so the rounds grow with the logarithm of the longest text that has a near twin. After
 the first digit most documents are single, and their texts are read but never shuffled or written where the groups
@@ -24,7 +24,7 @@ from .store import Scratch
 
 #: Bytes of the first digit, and how many times longer each digit is than the one before.
 DIGIT, GROWTH = 64, 8
-#: Groups up to this size on disk, as measured, are broadcast; larger ones are merged.
+#: Groups of the first round up to this size on disk, as measured, are broadcast; larger ones are merged.
 BROADCAST_BYTES = 4 << 20
 
 ROWS = "doc_id {kind}, sha string, uid long, keep {kind}, n long, kept boolean, grp long, rest binary, open boolean"
@@ -63,7 +63,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digit:
         top = [] if open_ is None else [F.max(F.struct("doc_id", "uid")).alias("top")]
         counted = rows.groupBy("grp", "digit", "ends").agg(F.count(F.lit(1)).alias("size"), *top).where("size > 1")
         groups = scratch.put(f"groups{k}", counted.withColumn("id", F.monotonically_increasing_id()))
-        dealt = _dealt(rows, groups, scratch.bytes(f"groups{k}") <= broadcast_bytes)
+        dealt = _dealt(rows, groups, k == 0 and scratch.bytes("groups0") <= broadcast_bytes)
         alone = F.col("g.id").isNull()
         if open_ is None:
             goes_on, sha, uid = ~alone, F.sha2(F.col("t"), 256), F.monotonically_increasing_id()
