@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import LocusMatching
 from ..functions.scalars import overlap
 from ..functions.storage import materialized
+from .assignment import TOGETHER, assigned
 from .runs import interval_union
+from .scan import SPAN, Running, scan
 
 PLACE = ["seqid", "strand"]
 UNMATCHED = "__unmatched_pred__"
@@ -41,14 +41,19 @@ def transcripts(features: DataFrame, chains: DataFrame, types: Iterable[str]) ->
     return last.join(c, ["source", "seqid", "gff_id"], "left").select("source", *PLACE, "gff_id", "start", "stop", "ord", F.coalesce("chain", empty).alias("chain"))
 
 
-def loci(spans: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Adds locus, l_start, l_stop: clusters of overlapping spans (sharing one position is enough)."""
-    by = by or ["source", *PLACE]
-    w = W.partitionBy(*by).orderBy("start", "stop", "ord")
-    new = F.when(F.col("start") <= F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1)), 0).otherwise(1)
-    rows = spans.withColumn("_new", new).withColumn("locus", F.sum("_new").over(w)).drop("_new")
-    one = W.partitionBy(*by, "locus")
-    return rows.withColumn("l_start", F.min("start").over(one)).withColumn("l_stop", F.max("stop").over(one))
+def loci(spans: DataFrame, by: list[str] | None = None, span: int | None = SPAN) -> DataFrame:
+    """Adds locus (numbered along its strand), l_start, l_stop: clusters of overlapping spans (sharing one position is enough).
+
+    Strands are scanned in ranges of `span` positions, so that one chromosome takes many tasks.
+    """
+    by, order = by or ["source", *PLACE], ["start", "stop", "ord"]
+    rows = scan(spans, by, "start", order, {"_reach": Running("max", F.col("stop"))}, span)
+    rows = rows.withColumn("_new", F.coalesce(F.col("start") > F.col("_reach"), F.lit(True)))
+    new = lambda c: F.when(F.col("_new"), c)
+    # A locus ends where everything before the next one has ended.
+    wanted = {"locus": Running("sum", F.col("_new").cast("long"), upto=True), "l_start": Running("last", new(F.col("start")), upto=True), "_next": Running("last", new(F.col("_reach")), after=True), "_rest": Running("max", F.col("stop"), upto=True, after=True)}
+    rows = scan(rows, by, "start", order, wanted, span)
+    return rows.select(*spans.columns, "locus", "l_start", F.coalesce("_next", F.greatest("_reach", "_rest")).alias("l_stop"))
 
 
 # The names of the pair classes and the mark of predictions without a reference.
@@ -118,104 +123,13 @@ def best_per_locus(scored: DataFrame) -> DataFrame:
     return scored.where("score > 0").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def assignment(score: list[list[int]] | list[list[float]] | np.ndarray) -> list[tuple[int, int]]:
-    """Row and column pairs with the largest total score (shortest augmenting paths with potentials, whole columns at once).
-
-    Whole numbers of any size stay exact.
-    """
-    cost = -np.array(score, dtype=None if isinstance(score, np.ndarray) else object if isinstance(score[0][0], int) else float)
-    rows, cols = cost.shape
-    if rows > cols:
-        return sorted((r, c) for c, r in assignment(-cost.T))
-    far = float("inf")
-    row_price, col_price = np.zeros(rows, cost.dtype), np.zeros(cols, cost.dtype)
-    owner = np.full(cols, -1)
-    for r in range(rows):
-        dist, came, open_ = np.full(cols, far, cost.dtype), np.full(cols, -1), np.ones(cols, bool)
-        reached, here, base = [(r, 0)], -1, 0
-        own = r
-        while True:
-            slack = base + cost[own] - row_price[own] - col_price
-            better = open_ & (slack < dist)
-            dist[better], came[better] = slack[better], here
-            left = np.flatnonzero(open_)
-            here = int(left[int(np.argmin(dist[left]))])
-            base = dist[here]
-            open_[here] = False
-            if owner[here] < 0:
-                break
-            own = int(owner[here])
-            reached.append((own, base))
-        for x, at in reached:
-            row_price[x] += base - at
-        closed = np.flatnonzero(~open_)
-        col_price[closed] -= base - dist[closed]
-        while here >= 0:
-            before = int(came[here])
-            owner[here] = owner[before] if before >= 0 else r
-            here = before
-    return sorted((int(owner[c]), c) for c in range(cols) if owner[c] >= 0)
-
-
-#: Pairs of a component up to which equally good assignments are told apart by the order of their pairs.
-ORDERED = 64
-
-
-def best_pairs(rows: pd.DataFrame) -> np.ndarray:
-    """Which of the scored pairs of a locus, in order, are in its best one-to-one assignment.
-
-    Connected groups of pairs are independent. Among equal totals (scores count to nine decimals) the assignment that has
-    the earlier pairs is taken, in groups of up to ORDERED pairs.
-    """
-    gs, ps = rows["gt_id"].factorize()[0], rows["pred_id"].factorize()[0]
-    root = list(range(gs.max() + ps.max() + 2))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for g, p in zip(gs.tolist(), (ps + gs.max() + 1).tolist(), strict=True):
-        root[find(g)] = find(p)
-    group = np.array([find(g) for g in gs.tolist()])
-    points = np.rint(rows["score"].to_numpy() * 1e9).astype(np.int64)
-    keep = np.zeros(len(rows), bool)
-    order = np.argsort(group, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        if len(own) == 1:
-            keep[own] = True
-            continue
-        g, p = (np.unique(x[own], return_inverse=True)[1] for x in (gs, ps))
-        n = len(own)
-        if n <= ORDERED:
-            m = [[0] * (p.max() + 1) for _ in range(g.max() + 1)]
-            for k in range(n):
-                m[g[k]][p[k]] = (int(points[own[k]]) << n) + (1 << (n - 1 - k))
-        else:
-            m = np.zeros((g.max() + 1, p.max() + 1))
-            m[g, p] = points[own]
-        chosen = set(assignment(m))
-        keep[own] = [(a, b) in chosen for a, b in zip(g.tolist(), p.tolist(), strict=True)]
-    return keep
-
-
-def full_discovery(scored: DataFrame) -> DataFrame:
+def full_discovery(scored: DataFrame, together: int = TOGETHER) -> DataFrame:
     """One-to-one pairs of each locus and predictor with the largest total score; pairs of score 0 are dropped.
 
-    Loci without rivals on either side are taken in SQL; only true contests go to Python, one locus at a time.
+    Of equally good assignments the one with the earlier pairs in (reference, prediction) order is taken, in loci of any
+    size.
     """
-    some = scored.where("score > 0")
-    key = [*PLACE, "locus", "predictor"]
-    n = some.withColumn("_g", F.count(F.lit(1)).over(W.partitionBy(*key, "gt_id"))).withColumn("_p", F.count(F.lit(1)).over(W.partitionBy(*key, "pred_id")))
-    n = n.withColumn("_m", F.max(F.greatest("_g", "_p")).over(W.partitionBy(*key)))
-    alone = n.where("_m = 1").drop("_g", "_p", "_m")
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["gt_start", "gt_stop", "gt_ord", "pred_ord"], kind="stable").reset_index(drop=True)
-        return rows[best_pairs(rows)]
-
-    contested = n.where("_m > 1").drop("_g", "_p", "_m")
-    return alone.unionByName(contested.groupBy(*key).applyInPandas(solve, contested.schema))
+    return assigned(scored, [*PLACE, "locus", "predictor"], "gt_id", "pred_id", "score", ["gt_start", "gt_stop", "gt_ord", "pred_ord"], together)
 
 
 MAPPING = ["seqid", "strand", "gt_id", "gt_start", "gt_stop", "is_unmatched_prediction", "predictor", "pred_id", "pred_start", "pred_stop", "match_class", "base_overlap", "junction_f1"]
@@ -230,7 +144,7 @@ def unmatched(pred: DataFrame, assigned: DataFrame) -> DataFrame:
 
 def mapping(gt: DataFrame, pred: DataFrame, mode: LocusMatching = LocusMatching.FULL_DISCOVERY) -> DataFrame:
     """Flat mapping. BEST_PER_LOCUS: matches only. FULL_DISCOVERY: every reference (unmatched ones with nulls), and unmatched predictions."""
-    placed = loci(gt)
+    placed = materialized(loci(gt))  # both sides of the join of candidates read it
     scored = candidates(placed, pred)
     chosen = best_per_locus(scored) if mode is LocusMatching.BEST_PER_LOCUS else full_discovery(scored)
     of = lambda rows: rows.withColumn("is_unmatched_prediction", F.lit(False)).select(*MAPPING)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..config import LabelConfig
 from ..functions.scalars import ratio, scores, total
 from .runs import KEYS, binary
+from .scan import WHOLE, Running, scan
 
 
 def length() -> Column:
@@ -24,12 +25,11 @@ def nucleotide(pieces: DataFrame, config: LabelConfig, by: list[str]) -> DataFra
     return counts.select("*", *scores())
 
 
-def indel(pieces: DataFrame, config: LabelConfig) -> DataFrame:
+def indel(pieces: DataFrame, config: LabelConfig, span: int | None = WHOLE) -> DataFrame:
     """keys, kind, lo, hi: every mismatch run, named by whether agreed coding lies right before and after it."""
-    rows = binary(pieces, config.exon_label)
-    w = W.partitionBy(*KEYS).orderBy("lo")
     agreed = F.col("g") * F.col("p")
-    left, right = (F.coalesce(f(agreed).over(w), F.lit(0)) == 1 for f in (F.lag, F.lead))
+    rows = scan(binary(pieces, config.exon_label, span), KEYS, "lo", ["lo"], {"_left": Running("last", agreed), "_right": Running("last", agreed, after=True)}, span)
+    left, right = (F.coalesce(c, F.lit(0)) == 1 for c in ("_left", "_right"))
     ins = F.when(left & right, "joined").when(right, "5_prime_extensions").when(left, "3_prime_extensions").otherwise("whole_insertions")
     gone = F.when(left & right, "split").when(right, "5_prime_deletions").when(left, "3_prime_deletions").otherwise("whole_deletions")
     return rows.withColumn("kind", F.when(F.col("p") == 1, ins).otherwise(gone)).where("g <> p").select(*KEYS, "kind", "lo", "hi")
@@ -98,16 +98,16 @@ def dense_transitions(counts: DataFrame, config: LabelConfig, by: list[str]) ->
     return keys.crossJoin(F.broadcast(grid)).join(counts, [*by, "kind", "ctx", "row", "col"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-def frames(pieces: DataFrame, config: LabelConfig, strict: bool = True) -> DataFrame:
+def frames(pieces: DataFrame, config: LabelConfig, strict: bool = True, span: int | None = WHOLE) -> DataFrame:
     """keys, lo, hi, frame for stretches coding on both sides: |coding bases so far, pred - gt| modulo 3.
 
     Sequences without coding on a side, or under 3 predicted bases, have none. A reference whose coding length
     is no multiple of 3 is an error.
     """
     g, p = ((F.col(c) == config.exon_label).cast("int") * length() for c in ("gt", "pred"))
-    every, upto = W.partitionBy(*KEYS), W.partitionBy(*KEYS).orderBy("lo")
-    rows = pieces.withColumn("_g", g).withColumn("_p", p)
-    rows = rows.withColumn("_tg", F.sum("_g").over(every)).withColumn("_tp", F.sum("_p").over(every)).withColumn("_cg", F.sum("_g").over(upto)).withColumn("_cp", F.sum("_p").over(upto))
+    running = lambda c: {f"_c{c}": Running("sum", F.col(f"_{c}"), upto=True), f"_r{c}": Running("sum", F.col(f"_{c}"), after=True)}
+    rows = scan(pieces.withColumn("_g", g).withColumn("_p", p), KEYS, "lo", ["lo"], running("g") | running("p"), span)
+    rows = rows.withColumn("_tg", F.col("_cg") + F.coalesce("_rg", F.lit(0))).withColumn("_tp", F.col("_cp") + F.coalesce("_rp", F.lit(0)))
     rows = rows.where((F.col("_tg") > 0) & (F.col("_tp") >= 3))
     frame = F.abs(F.col("_cp") - F.col("_cg")) % 3
     if strict:

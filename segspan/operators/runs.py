@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import GAP_JUMP, LARGE_AXIS, TYPICAL_GAPS, LabelConfig
+from .scan import WHOLE, Running, fused, scan
 
 KEYS = ["predictor", "seq_id", "chunk_id"]
 SIDE = [*KEYS, "side"]
@@ -24,21 +25,14 @@ def rle(arrays: DataFrame, labels: str, keep: list[str]) -> DataFrame:
     return cut.select(*keep, F.inline(run))
 
 
-def merged(runs: DataFrame, keys: list[str] = SIDE) -> DataFrame:
+def merged(runs: DataFrame, keys: list[str] = SIDE, span: int | None = WHOLE) -> DataFrame:
     """Join neighbouring runs of one label."""
-    w = W.partitionBy(*keys).orderBy("lo")
-    new = F.when((F.lag("label").over(w) == F.col("label")) & (F.lag("hi").over(w) == F.col("lo") - 1), 0).otherwise(1)
-    island = runs.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w))
-    return island.groupBy(*keys, "_island").agg(F.first("label").alias("label"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
+    return fused(runs, keys, ["label"], span)
 
 
-def interval_union(spans: DataFrame, keys: list[str], touching: bool = True) -> DataFrame:
+def interval_union(spans: DataFrame, keys: list[str], touching: bool = True, span: int | None = WHOLE) -> DataFrame:
     """Disjoint union of spans; touching ones (next starts at hi + 1) join if asked."""
-    w = W.partitionBy(*keys).orderBy("lo", "hi")
-    reach = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(F.col("lo") <= reach + (1 if touching else 0), 0).otherwise(1)
-    island = spans.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w))
-    return island.groupBy(*keys, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
+    return fused(spans, keys, [], span, reach=True, touching=touching)
 
 
 def label_runs(axes: DataFrame, sections: DataFrame, config: LabelConfig, introns: bool = True) -> DataFrame:
@@ -66,25 +60,20 @@ def sections(runs: DataFrame, label: int) -> DataFrame:
     return runs.where(F.col("label") == label).withColumn("idx", F.row_number().over(w) - 1).select(*SIDE, "idx", "lo", "hi")
 
 
-def overlay(runs: DataFrame) -> DataFrame:
-    """Joint pieces of both sides: keys, lo, hi, gt, pred. One shuffle, by sequence."""
-    at = W.partitionBy(*KEYS).orderBy("lo")
-    upto = at.rangeBetween(W.unboundedPreceding, W.currentRow)
-    of = lambda side: F.last(F.when(F.col("side") == side, F.col("label")), ignorenulls=True).over(upto)
-    rows = runs.select(*KEYS, "side", "label", "lo", "hi").withColumn("gt", of("gt")).withColumn("pred", of("pred"))
-    rows = rows.withColumn("_next", F.lead("lo").over(at)).withColumn("_end", F.max("hi").over(W.partitionBy(*KEYS)))
+def overlay(runs: DataFrame, span: int | None = WHOLE) -> DataFrame:
+    """Joint pieces of both sides: keys, lo, hi, gt, pred. One shuffle, by sequence, or by ranges of `span` positions of it."""
+    of = lambda side: Running("last", F.when(F.col("side") == side, F.col("label")), upto=True)
+    wanted = {"gt": of("gt"), "pred": of("pred"), "_end": Running("max", F.col("hi"), upto=True), "_next": Running("last", F.col("lo"), after=True)}
+    rows = scan(runs.select(*KEYS, "side", "label", "lo", "hi"), KEYS, "lo", ["lo", "side"], wanted, span)
+    # Of runs that start together the last one has seen both labels.
     rows = rows.where(F.col("_next").isNull() | (F.col("_next") > F.col("lo")))
     return rows.select(*KEYS, "lo", F.coalesce(F.col("_next") - 1, F.col("_end")).alias("hi"), "gt", "pred")
 
 
-def binary(pieces: DataFrame, label: int) -> DataFrame:
+def binary(pieces: DataFrame, label: int, span: int | None = WHOLE) -> DataFrame:
     """The overlay reduced to (g, p): is each side this label? Equal neighbours are joined."""
-    w = W.partitionBy(*KEYS).orderBy("lo")
     g, p = (F.col("gt") == label).cast("int"), (F.col("pred") == label).cast("int")
-    rows = pieces.select(*KEYS, "lo", "hi", g.alias("g"), p.alias("p"))
-    new = F.when((F.lag("g").over(w) == F.col("g")) & (F.lag("p").over(w) == F.col("p")), 0).otherwise(1)
-    rows = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w))
-    return rows.groupBy(*KEYS, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("g").alias("g"), F.first("p").alias("p")).drop("_island")
+    return fused(pieces.select(*KEYS, "lo", "hi", g.alias("g"), p.alias("p")), KEYS, ["g", "p"], span)
 
 
 def chunked(runs: DataFrame, masks: DataFrame, axes: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import BIAS, RELIABILITY
@@ -27,40 +29,35 @@ def pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return both.select("*", overlap(*c).alias("bases"), (F.col("p_lo") - F.col("g_lo")).alias("r5"), (F.col("p_hi") - F.col("g_hi")).alias("r3"), iou(*c).alias("iou"))
 
 
-#: Pairs of a stretch up to which its matching is a fold inside the row.
-FOLDED = 64
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From pairs sorted by stretch, then by overlap (largest first), reference and prediction: those that find both free."""
+    stretch, gs, ps = None, set(), set()
+    for batch in batches:
+        keep = []
+        for key, g, p in zip(zip(*(batch.column(k).to_pylist() for k in range(len(KEYS) + 1)), strict=True), batch.column("g_idx").to_pylist(), batch.column("p_idx").to_pylist(), strict=True):
+            if key != stretch:
+                stretch, gs, ps = key, set(), set()
+            keep.append(g not in gs and p not in ps)
+            if keep[-1]:
+                gs.add(g)
+                ps.add(p)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def matches(found: DataFrame) -> DataFrame:
     """The greedy one-to-one matching of each sequence: largest overlap first, ties by reference, then prediction.
 
     In the order of sections, pairs that share one are neighbours; stretches of such neighbours are matched on their
-    own, short ones by a fold in the JVM, long ones in Python, each in time n log n.
+    own, in one pass over sorted rows, so that a long sequence spans tasks.
     """
     w = W.partitionBy(*KEYS).orderBy("g_idx", "p_idx")
     linked = (F.lag("g_idx").over(w) == F.col("g_idx")) | (F.lag("p_idx").over(w) == F.col("p_idx"))
     cols = ["g_idx", "p_idx", "bases", "g_lo", "g_hi", "p_lo", "p_hi"]
     rows = found.select(*KEYS, *[F.col(c).cast("int").alias(c) for c in cols], F.when(linked, 0).otherwise(1).alias("_new"))
-    rows = rows.withColumn("_stretch", F.sum("_new").over(w)).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*KEYS, "_stretch")))
+    rows = rows.select(*KEYS, F.sum("_new").over(w).alias("_stretch"), *cols)
     key = [*KEYS, "_stretch"]
-    kind = "array<struct<neg:int,g_idx:int,p_idx:int,bases:int,g_lo:int,g_hi:int,p_lo:int,p_hi:int>>"
-    of = F.struct((-F.col("bases")).alias("neg"), *cols)
-    listed = rows.where(F.col("_n") <= FOLDED).groupBy(*key).agg(F.array_sort(F.collect_list(of)).alias("c"))
-    fold = F.aggregate("c", F.expr(f"cast(array() as {kind})"), lambda acc, c: F.when(F.exists(acc, lambda m: (m["g_idx"] == c["g_idx"]) | (m["p_idx"] == c["p_idx"])), acc).otherwise(F.concat(acc, F.array(c))))
-    short = listed.select(*KEYS, F.inline(fold)).select(*KEYS, *cols)
-
-    def solve(one: pd.DataFrame) -> pd.DataFrame:
-        one = one.sort_values(["bases", "g_idx", "p_idx"], ascending=[False, True, True])
-        taken_g, taken_p, keep = set(), set(), []
-        for g, p in zip(one["g_idx"], one["p_idx"], strict=True):
-            keep.append(g not in taken_g and p not in taken_p)
-            if keep[-1]:
-                taken_g.add(g)
-                taken_p.add(p)
-        return one[keep][[*KEYS, *cols]]
-
-    long = rows.where(F.col("_n") > FOLDED).groupBy(*key).applyInPandas(solve, short.schema)
-    return short.unionByName(long)
+    rows = rows.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key, F.desc("bases"), "g_idx", "p_idx")
+    return rows.mapInArrow(_greedy, rows.schema).drop("_stretch")
 
 
 def perfect(gt: DataFrame, pred: DataFrame) -> DataFrame:
@@ -76,13 +73,20 @@ def discovery(sequences: DataFrame, gt: DataFrame, pred: DataFrame, found: DataF
     Matched sections that fail `internal` or `full_coverage` are misses but no false positives: fp stays the
     number of unmatched predictions.
     """
-    m = matches(found).groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("neighborhood"),
-        total((F.col("p_lo") >= F.col("g_lo")) & (F.col("p_hi") <= F.col("g_hi"))).alias("internal"),
-        total((F.col("p_lo") <= F.col("g_lo")) & (F.col("p_hi") >= F.col("g_hi"))).alias("full_coverage"),
+    c = {x: F.col(x) for x in ("g_lo", "g_hi", "p_lo", "p_hi")}
+    hits = matches(found).select(
+        *KEYS,
+        F.lit(1).alias("neighborhood"),
+        ((c["p_lo"] >= c["g_lo"]) & (c["p_hi"] <= c["g_hi"])).cast("int").alias("internal"),
+        ((c["p_lo"] <= c["g_lo"]) & (c["p_hi"] >= c["g_hi"])).cast("int").alias("full_coverage"),
+        # A section with the same ends on both sides meets no other one, so the matching has it.
+        ((c["p_lo"] == c["g_lo"]) & (c["p_hi"] == c["g_hi"])).cast("int").alias("perfect_boundary"),
     )
-    n = lambda df, name: df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias(name))
-    wide = sequences.select(*KEYS).join(n(gt, "_g"), KEYS, "left").join(n(pred, "_p"), KEYS, "left").join(m, KEYS, "left").join(n(perfect(gt, pred), "perfect_boundary"), KEYS, "left").fillna(0)
+    # One aggregate over everything that is counted, by sequence: no joins.
+    names = ["_g", "_p", *LEVELS]
+    one = lambda df, *has: df.select(*KEYS, *[F.lit(int(n in has)).alias(n) for n in names])
+    rows = one(sequences).unionByName(one(gt, "_g")).unionByName(one(pred, "_p")).unionByName(hits.select(*KEYS, F.lit(0).alias("_g"), F.lit(0).alias("_p"), *LEVELS))
+    wide = rows.groupBy(*KEYS).agg(*[F.sum(n).cast("long").alias(n) for n in names])
     free = F.col("_p") - F.col("neighborhood")
     level = lambda x: F.struct(F.lit(x).alias("level"), F.col(x).alias("tp"), (F.col("_g") - F.col(x)).alias("fn"), (F.col("_p") - F.col(x) if x == "perfect_boundary" else free).alias("fp"))
     return wide.select(*KEYS, F.inline(F.array(*[level(x) for x in LEVELS])))

@@ -236,7 +236,7 @@ c AS (SELECT predictor, count(*) FILTER (g = 1 AND h = 1) AS tp, count(*) FILTER
  (SELECT count(DISTINCT (t.seqid, t.strand, t.locus)) FROM tl t JOIN fd b ON b.predictor = q.predictor AND b.seqid = t.seqid AND b.strand = t.strand AND b.gt_id = t.id WHERE t.source = 'gt') AS matched_gt,
  (SELECT count(DISTINCT (t.seqid, t.strand, t.locus)) FROM tl t JOIN fd b ON b.predictor = q.predictor AND b.seqid = t.seqid AND b.strand = t.strand AND b.pred_id = t.id WHERE t.source = q.predictor) AS matched_pred FROM ps q),
  d AS (SELECT *, matched_pred / n_pred AS p, matched_gt / n_ref AS r FROM c) SELECT predictor, n_ref, n_pred, matched_gt, matched_pred, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM d""",
-    "painted_pairs_full": f"""WITH RECURSIVE {BASE}{FEATURES}{FULL}, fa AS (SELECT predictor, seqid, strand, gt_id, gs, ge, pred_id FROM fd UNION ALL SELECT source, seqid, strand, '__unmatched_pred__' || id, s, e, id FROM fu), k AS (
+    "painted_pairs_full": f"""WITH RECURSIVE {BASE}{FEATURES}{FULL}, fa AS (SELECT predictor, seqid, strand, gt_id, gs, ge, pred_id FROM fd UNION ALL SELECT source, seqid, strand, '__unmatched_pred__' || id, s, e, id FROM fu UNION ALL SELECT q.predictor, t.seqid, t.strand, t.id, t.s, t.e, NULL FROM tr t, ps q WHERE t.source = 'gt' AND NOT EXISTS (SELECT 1 FROM fd WHERE fd.predictor = q.predictor AND fd.seqid = t.seqid AND fd.strand = t.strand AND fd.gt_id = t.id)), k AS (
   SELECT b.predictor, b.seqid, b.strand, b.gt_id, 'gt' AS side, greatest(x.s, gs) - gs AS lo, least(x.e, ge) - gs AS hi FROM fa b JOIN exon x ON x.source = 'gt' AND x.seqid = b.seqid AND x.parent = b.gt_id WHERE x.s <= ge AND x.e >= gs
   UNION ALL SELECT b.predictor, b.seqid, b.strand, b.gt_id, 'pred', greatest(x.s, gs) - gs, least(x.e, ge) - gs FROM fa b JOIN exon x ON x.source = b.predictor AND x.seqid = b.seqid AND x.parent = b.pred_id WHERE x.s <= ge AND x.e >= gs
 ), p AS (SELECT DISTINCT predictor, seqid, strand, gt_id, side, unnest(range(lo, hi + 1)) AS p FROM k) SELECT predictor, side, count(*) AS bases, CAST(sum(p) AS BIGINT) AS checksum FROM p GROUP BY 1, 2""",
@@ -250,6 +250,13 @@ UNION ALL SELECT seqid, strand, '__unmatched_pred__' || id, s, e, true, source,
     "false_transition_targets": f"WITH {BASE}{POS}{EVENTS} SELECT predictor, kind, col AS target, count(*) AS n FROM ev WHERE kind IN ('premature', 'spurious') GROUP BY 1, 2, 3",
     "array_pair_confusion": f"WITH {BASE}{POS} SELECT predictor, gl AS gt, pl AS pred, count(*) AS n FROM pos GROUP BY 1, 2, 3",
     "individual_nucleotide": f"WITH {BASE}{POS}, c AS (SELECT predictor, CAST(o AS VARCHAR) AS seq_id, {CONF} GROUP BY 1, 2) SELECT *, {prf()} FROM c",
+    "long_axis_confusion": f"""WITH {BASE}{POS}, nx AS (SELECT predictor, o, coalesce(lead(o) OVER (PARTITION BY predictor ORDER BY o) - o - 1, 0) * 330 AS gap FROM seqs)
+SELECT predictor, gl AS gt, pl AS pred, CAST(sum(n) AS BIGINT) AS n FROM (SELECT predictor, gl, pl, count(*) AS n FROM pos GROUP BY 1, 2, 3 UNION ALL SELECT predictor, gl, pl, gap FROM pos JOIN nx USING (predictor, o) WHERE p = 329) GROUP BY 1, 2, 3""",
+    "long_axis_union": f"""WITH {BASE}, a AS (SELECT predictor, o * 330 + s AS s, o * 330 + e AS e FROM (SELECT predictor, o, s, e FROM gsec UNION ALL SELECT predictor, o, s, e FROM psec)),
+m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY predictor ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS n FROM a),
+i AS (SELECT *, sum(n) OVER (PARTITION BY predictor ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT predictor, min(s) AS lo, max(e) AS hi FROM i GROUP BY predictor, g""",
+    "long_axis_loci": f"""WITH {BASE}{FEATURES}, m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY source ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM tr),
+i AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY s, e, id ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT source, min(s) AS l_start, max(e) AS l_stop, count(*) AS n FROM i GROUP BY source, g""",
     "exon_arrays": f"WITH {BASE}{FEATURES} SELECT t.id || '_' || t.strand AS seq_id, t.e - t.s + 1 AS n, x.s - t.s AS lo, x.e - t.s AS hi FROM tr t JOIN exon x ON x.source = 'gt' AND x.parent = t.id WHERE t.source = 'gt'",
     "gff3_parse": f"WITH {BASE}{FEATURES}, f AS (SELECT source, seqid, 'mRNA' AS type, s, e, strand, id AS gff_id, NULL AS parent FROM tr UNION ALL SELECT source, seqid, 'exon', s, e, strand, NULL, parent FROM exon) SELECT source, seqid, type, s AS start, e AS stop, strand, gff_id, parent FROM f",
     "gtf_parse": f"WITH {BASE}{FEATURES}, f AS (SELECT source, seqid, 'mRNA' AS type, s, e, strand, id AS gff_id FROM tr UNION ALL SELECT source, seqid, 'exon', s, e, strand, parent FROM exon) SELECT source, seqid, type, s AS start, e AS stop, strand, gff_id, gff_id AS parent FROM f",

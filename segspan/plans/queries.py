@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import FIVE_ROLES, LabelConfig, LocusMatching
+from ..functions.storage import materialized
 from ..operators import annotation, mapping, perbase, runs, sections, structure
 from ..sources import arrays, fixtures, gff
 from . import oracle
@@ -179,6 +180,8 @@ def terminal_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def region_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, g, p = _sides(spark, sf_dir)
+    both = materialized(g.unionByName(p))  # four branches read it
+    g, p = both.where("side = 'gt'"), both.where("side = 'pred'")
     return rounded(sections.discovery_scores(sections.discovery(q, g, p, sections.pairs(g, p)), BY))
 
 
@@ -318,13 +321,18 @@ def painted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def painted_pairs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reference with every predictor, also where it has no match, and the unmatched predictions."""
     f, g, p = _annotations(spark, sf_dir)
-    return _painted(mapping.mapping(g, p, LocusMatching.FULL_DISCOVERY).where("pred_id is not null"), f, _predictors(spark))
+    cover = mapping.painted(mapping.mapping(g, p, LocusMatching.FULL_DISCOVERY), f, _predictors(spark), EXON)
+    return _sums(cover)
 
 
 def _painted(mapped: DataFrame, features: DataFrame, predictors: DataFrame) -> DataFrame:
     own = mapped.select("seqid", "strand", "gt_id", "predictor")
-    cover = mapping.painted(mapped, features, predictors, EXON).join(own, ["predictor", "seqid", "strand", "gt_id"], "left_semi")
+    return _sums(mapping.painted(mapped, features, predictors, EXON).join(own, ["predictor", "seqid", "strand", "gt_id"], "left_semi"))
+
+
+def _sums(cover: DataFrame) -> DataFrame:
     return cover.groupBy("predictor", "side").agg(F.sum(perbase.length()).cast("long").alias("bases"), F.sum(F.expr("cast((lo + hi) * (hi - lo + 1) / 2 as long)")).alias("checksum"))
 
 
@@ -379,6 +387,38 @@ def individual_nucleotide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(perbase.nucleotide(_pieces(spark, sf_dir), FIVE_ROLES, ["predictor", "seq_id"]))
 
 
+def _one_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of all orders one after the other on one axis for each predictor and side."""
+    o = F.col("seq_id").cast("long") * fixtures.AXIS
+    moved = {"lo": F.col("lo") + o, "hi": F.col("hi") + o, "seq_id": F.lit("all")}
+    return _runs(spark, sf_dir).withColumns(moved)
+
+
+#: Positions of a range of the long axes below, small enough for many ranges on small tables.
+RANGE = 1 << 16
+
+
+@query
+def long_axis_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlay of two axes that no task holds."""
+    return perbase.label_confusion(runs.overlay(_one_axis(spark, sf_dir), RANGE), BY)
+
+
+@query
+def long_axis_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sections of either side cover."""
+    coding = _one_axis(spark, sf_dir).where("label = 0")
+    return runs.interval_union(coding.select("predictor", "lo", "hi"), ["predictor"], span=RANGE)
+
+
+@query
+def long_axis_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loci of each source's transcripts as if all were on one strand."""
+    _, g, p = _annotations(spark, sf_dir)
+    placed = mapping.loci(g.unionByName(p), ["source"], 1 << 10)
+    return placed.groupBy("source", "l_start", "l_stop").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def exon_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gff.exon_arrays(fixtures.features(spark, sf_dir).where("source = 'gt'"), MRNA).select("seq_id", *[F.col(c).cast("long").alias(c) for c in ("n", "lo", "hi")])

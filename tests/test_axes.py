@@ -144,7 +144,7 @@ def test_section_pairs_and_levels(spark, random_pairs):
     found.unpersist()
 
 
-def test_long_stretches_are_matched_like_short_ones(spark, monkeypatch):
+def test_long_stretches_are_matched_like_short_ones(spark):
     r = random.Random(22)
     gt, pred = [], []
     for side in (gt, pred):
@@ -156,9 +156,7 @@ def test_long_stretches_are_matched_like_short_ones(spark, monkeypatch):
     s = runs.sections(labelled_axes(spark, gt, pred), 0)
     found = sections.pairs(s.where("side='gt'"), s.where("side='pred'"))
     want = {(k, *x) for k, (a, b) in enumerate(zip(gt, pred, strict=True)) for x in greedy(spans(a, 0), spans(b, 0))}
-    for most in (64, 3):
-        monkeypatch.setattr(sections, "FOLDED", most)
-        assert {(int(x.seq_id), x.g_idx, x.p_idx) for x in sections.matches(found).collect()} == want
+    assert {(int(x.seq_id), x.g_idx, x.p_idx) for x in sections.matches(found).collect()} == want
 
 
 def test_many_sections_in_one_sequence(spark):

@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 from segspan.config import FIVE_ROLES
-from segspan.operators import mapping, perbase, runs
+from segspan.operators import assignment, perbase, runs
 from segspan.sources import arrays
 
 
@@ -54,14 +56,46 @@ def test_transitions_and_confusion(spark):
 
 
 def test_assignment():
-    from itertools import permutations
-
+    """Largest total; of equal ones the assignment with the earlier pairs, against all subsets of pairs."""
     r = random.Random(3)
-    for _ in range(200):
-        n, m = r.randint(1, 5), r.randint(1, 5)
-        score = [[round(r.random(), 3) for _ in range(m)] for _ in range(n)]
-        small, large = (range(n), range(m)) if n <= m else (range(m), range(n))
-        best = max(sum(score[a][b] if n <= m else score[b][a] for a, b in zip(small, p, strict=False)) for p in permutations(large, len(small)))
-        got = mapping.assignment(score)
-        assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got)
-        assert abs(sum(score[a][b] for a, b in got) - best) < 1e-9
+    for k in range(1500):
+        every = [(f"g{i}", f"p{j}") for i in range(r.randint(1, 4)) for j in range(r.randint(1, 4))]
+        pairs = [(g, p, r.randint(1, (1, 2, 3, 10**9)[k % 4])) for g, p in r.sample(every, r.randint(1, min(8, len(every))))]
+        most = None
+        for m in range(1 << len(pairs)):
+            own = [x for i, x in enumerate(pairs) if m >> i & 1]
+            if len({x[0] for x in own}) == len({x[1] for x in own}) == len(own):
+                value = sum(x[2] for x in own), [m >> i & 1 for i in range(len(pairs))]
+                most = max(most or value, value)
+        assert assignment.best(pairs) == [bool(x) for x in most[1]]
+
+
+def test_assignment_of_many_equal_pairs():
+    """The tie rule holds at any size: the diagonal has the earliest pairs of a full square."""
+    pairs = [(i, j, 7) for i in range(60) for j in range(60)]
+    assert [pairs[k][:2] for k, x in enumerate(assignment.best(pairs)) if x] == [(i, i) for i in range(60)]
+    chain = [(i, i + d, 5) for i in range(3000) for d in (0, 1)]
+    assert [chain[k][:2] for k, x in enumerate(assignment.best(chain)) if x] == [(i, i) for i in range(3000)]
+
+
+@pytest.mark.parametrize("together", [1 << 16, 3])
+def test_assigned_rows(spark, together):
+    """Groups in tasks, and connected groups found by Spark where a key has many pairs, are solved alike."""
+    r = random.Random(9)
+    rows = []
+    for key in range(6):
+        n = (1, 2, 5, 40, 90, 90)[key]
+        for _ in range(3 * n):
+            g = r.randrange(n)
+            rows.append((f"k{key}", f"g{g}", f"p{min(n - 1, max(0, g + r.randint(-1, 1)))}", r.choice([0.0, 0.25, 0.5, 0.5, 1.0])))
+    rows = [(k, g, p, s, i) for i, ((k, g, p), s) in enumerate({(k, g, p): s for k, g, p, s in rows}.items())]
+    rows += [("k9", None, "p1", 0.5, 10**6), ("k9", "g1", "p1", 0.5, 10**6 + 1), (None, "g1", None, 0.3, 10**6 + 2), (None, "g1", "x", 0.2, 10**6 + 3)]
+    table = spark.createDataFrame(rows, "key string, g string, p string, score double, at long").repartition(5)
+    got = {x["at"] for x in assignment.assigned(table, ["key"], "g", "p", "score", ["at"], together).collect()}
+    want = set()
+    for key in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == key and x[3] > 0]
+        keep = assignment.best([(g, p, round(s * 10**9)) for _, g, p, s, _ in own])
+        want |= {x[4] for x, k in zip(own, keep, strict=True) if k}
+    assert got == want
+    assert assignment.assigned(table.where("score > 9"), ["key"], "g", "p", "score", ["at"], together).count() == 0
