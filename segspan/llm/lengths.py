@@ -8,6 +8,7 @@ documents and tokens lie at or above it and how many tokens remain if all docume
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,6 +25,11 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 BLOCK = 256
 
 
+#: White space as the split pattern knows it (a fixed value), and the length from which a run is cut out before splitting.
+SPACES, LONG_RUN = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 1000
+RUN = re.compile(f"[{SPACES}]{{{LONG_RUN},}}")
+
+
 def encoder(ranks: bytes):
     """A byte-level BPE from the lines `base64-token rank` of a vocabulary file."""
     import tiktoken
@@ -32,15 +38,30 @@ def encoder(ranks: bytes):
     return tiktoken.Encoding("lengths", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def count_tokens(encoding, text: str) -> int:
+    """Tokens of a whole text.
+
+    The splitter's look-ahead takes stack for each character of a run of white space, so long runs are cut out. The
+    pattern takes all but the last character of a run as one piece (all of it at the end of the text), and what stands
+    before and after it is split as if it stood alone: counts stay the same.
+    """
+    n = at = 0
+    for m in RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(encoding.encode_ordinary(text[at : m.start()])) + len(encoding._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:] if at else text))
+
+
 def token_lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row `n_tokens` for each row of `docs`; a null or empty text has 0 tokens."""
     small_batches(docs.sparkSession)
     ranks = Path(vocabulary).read_bytes()  # bounded: one vocabulary, under a megabyte
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks).encode_ordinary
+        encoding = encoder(ranks)
         for batch in batches:
-            n = [len(encode(t)) if (t := x.as_py()) else 0 for x in batch.column(0)]
+            n = [count_tokens(encoding, t) if (t := x.as_py()) else 0 for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n_tokens"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(count, "n_tokens long")
