@@ -32,7 +32,7 @@ BATCH_STEPS = 1 << 14
 
 # Fixed values of HTML: void elements, elements whose text is no page text, block-level elements, and what a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select head".split())
+RAW = frozenset("noscript template textarea title iframe select".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -41,9 +41,10 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPE = frozenset("ul ol dl table".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<code>script|style)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=code)\s*>|\Z)|<(?P<raw>noscript|template|textarea|title|iframe|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?</(?P=raw)\s*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<odd>[/!?a-zA-Z])[^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<code>script|style)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=code)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<odd>[/!?a-zA-Z])[^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 _BUCKETS: dict[tuple[str, int], int] = {}
@@ -68,13 +69,52 @@ class Block:
     in_list: bool
 
 
+#: Elements that an end tag left out can close, or that keep it from being closed from inside.
+MARKS = frozenset(x for kinds in SAME.values() for x in kinds) | SCOPE
+
+
+@dataclass(slots=True)
+class Open:
+    """An open element, with what a block needs to know of all elements around it."""
+
+    tag: str
+    tokens: tuple[str, ...]
+    path: frozenset[int]
+    near: tuple[int, ...]
+    heading: bool
+    in_list: bool
+    #: Depths of the nearest element, this one included, that is a paragraph or a block, and that is one of MARKS; -1 for none.
+    block: int
+    mark: int
+
+
+OUTSIDE = Open("", (), frozenset(), (), False, False, -1, -1)
+
+
+def _inside(outer: Open, depth: int, tag: str, tokens: tuple[str, ...]) -> Open:
+    new = [bucket(t, PATH) for t in tokens]
+    path = outer.path if all(t in outer.path for t in new) else outer.path.union(new)
+    near = tuple({bucket("~" + t, NEAR) for t in (*outer.tokens, *tokens)})
+    heading, in_list = outer.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), outer.in_list or tag in ("li", "ul", "ol")
+    return Open(tag, tokens, path, near, heading, in_list, depth if tag == "p" or tag in BLOCK else outer.block, depth if tag in MARKS else outer.mark)
+
+
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page, texts decoded, with single spaces."""
+    """The blocks of a page, texts decoded, with single spaces.
+
+    One pass whose time grows with the page: elements know their surroundings when they open, a closing tag without an
+    open element is not looked for, and elements without their end are known by the last end there is.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Open] = []
+    count: dict[str, int] = {}
     parts: list[tuple[str, bool]] = []
-    links = 0
-    known: dict[tuple, tuple] = {}
+    last_end: dict[str, int] = {}
+
+    def close(depth: int) -> None:
+        for x in stack[depth:]:
+            count[x.tag] -= 1
+        del stack[depth:]
 
     def flush() -> None:
         nonlocal parts
@@ -84,20 +124,14 @@ def blocks(page: str) -> list[Block]:
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if text:
             linked = sum(len(x) for x, a in parts if a)
-            key = tuple(stack)
-            if key not in known:
-                tokens = [t for _, ts in stack for t in ts]
-                near = [t for _, ts in stack[-2:] for t in ts]
-                tags = {t for t, _ in stack}
-                known[key] = (frozenset(bucket(t, PATH) for t in tokens), tuple({bucket("~" + t, NEAR) for t in near}), bool(tags & {"h1", "h2", "h3", "h4", "h5", "h6"}), bool(tags & {"li", "ul", "ol"}))
-            path, near, heading, in_list = known[key]
-            out.append(Block(text, path, near, min(len(text), linked), heading, in_list))
+            at = stack[-1] if stack else OUTSIDE
+            out.append(Block(text, at.path, at.near, min(len(text), linked), at.heading, at.in_list))
         parts = []
 
     at = 0
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
-            parts.append((page[at : m.start()], links > 0))
+            parts.append((page[at : m.start()], count.get("a", 0) > 0))
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -106,38 +140,39 @@ def blocks(page: str) -> list[Block]:
         if m["end"]:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
+            if count.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
+        if tag in RAW:
+            if tag not in last_end:
+                last_end[tag] = max((x.start() for x in ENDS[tag].finditer(page)), default=-1)
+            if last_end[tag] >= at:
+                at = ENDS[tag].search(page, at).end()
+                continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
+            if tag in CLOSES_P and stack and (k := stack[-1].block) >= 0 and stack[k].tag == "p":
+                close(k)
             if tag in SAME:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in SAME[tag]:
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
+                k = stack[-1].mark if stack else -1
+                while k >= 0:
+                    if stack[k].tag in SAME[tag]:
+                        close(k)
                         if tag != "tr":
                             break
-                    elif stack[k][0] in SCOPE:
+                    elif stack[k].tag in SCOPE:
                         break
+                    k = stack[k - 1].mark if k else -1
         if tag in VOID or m["rest"].endswith("/"):
             continue
         names = tuple("." + w for g in NAMES.findall(m["rest"]) for w in WORD.findall("".join(g).lower())) if "=" in m["rest"] else ()
-        stack.append((tag, (tag, *names)))
-        links += tag == "a"
+        stack.append(_inside(stack[-1] if stack else OUTSIDE, len(stack), tag, (tag, *names)))
+        count[tag] = count.get(tag, 0) + 1
     if at < len(page):
-        parts.append((page[at:], links > 0))
+        parts.append((page[at:], count.get("a", 0) > 0))
     flush()
     return out
 
