@@ -97,10 +97,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     labelled = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id)))
     sizes = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     key = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id), F.col(text)), F.lit(1 << 32)) / float(1 << 32)
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col(lang) == name, min(1.0, per_language / n)).otherwise(share)
-    sample = labelled.where(key < share).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    # One row a language, as many as the filters have bits a slot.
+    shares = docs.sparkSession.createDataFrame([(name, min(1.0, per_language / n)) for name, n in sizes.items()], "l string, share double")
+    keyed = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), key.alias("key"))
+    sample = keyed.join(F.broadcast(shares), F.col("lang") == F.col("l")).where("key < share").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
