@@ -50,10 +50,10 @@ def loci(spans: DataFrame, by: list[str] | None = None, span: int | None = SPAN)
     rows = scan(spans, by, "start", order, {"_reach": Running("max", F.col("stop"))}, span)
     rows = rows.withColumn("_new", F.coalesce(F.col("start") > F.col("_reach"), F.lit(True)))
     new = lambda c: F.when(F.col("_new"), c)
-    # A locus ends where everything before the next one has ended.
-    wanted = {"locus": Running("sum", F.col("_new").cast("long"), upto=True), "l_start": Running("last", new(F.col("start")), upto=True), "_next": Running("last", new(F.col("_reach")), after=True), "_rest": Running("max", F.col("stop"), upto=True, after=True)}
+    # A locus ends where everything before the next one has ended; the last one ends where the strand does.
+    wanted = {"locus": Running("sum", F.col("_new").cast("long"), upto=True), "l_start": Running("last", new(F.col("start")), upto=True), "_next": Running("last", new(F.col("_reach")), after=True), "_rest": Running("max", F.col("stop"), whole=True)}
     rows = scan(rows, by, "start", order, wanted, span)
-    return rows.select(*spans.columns, "locus", "l_start", F.coalesce("_next", F.greatest("_reach", "_rest")).alias("l_stop"))
+    return rows.select(*spans.columns, "locus", "l_start", F.coalesce("_next", "_rest").alias("l_stop"))
 
 
 # The names of the pair classes and the mark of predictions without a reference.

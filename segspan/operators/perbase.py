@@ -28,7 +28,7 @@ def nucleotide(pieces: DataFrame, config: LabelConfig, by: list[str]) -> DataFra
 def indel(pieces: DataFrame, config: LabelConfig, span: int | None = WHOLE) -> DataFrame:
     """keys, kind, lo, hi: every mismatch run, named by whether agreed coding lies right before and after it."""
     agreed = F.col("g") * F.col("p")
-    rows = scan(binary(pieces, config.exon_label, span), KEYS, "lo", ["lo"], {"_left": Running("last", agreed), "_right": Running("last", agreed, after=True)}, span)
+    rows = scan(binary(pieces, config.exon_label, span), KEYS, "lo", ["lo"], {"_left": Running("last", agreed), "_right": Running("next", agreed)}, span)
     left, right = (F.coalesce(c, F.lit(0)) == 1 for c in ("_left", "_right"))
     ins = F.when(left & right, "joined").when(right, "5_prime_extensions").when(left, "3_prime_extensions").otherwise("whole_insertions")
     gone = F.when(left & right, "split").when(right, "5_prime_deletions").when(left, "3_prime_deletions").otherwise("whole_deletions")
@@ -105,9 +105,8 @@ def frames(pieces: DataFrame, config: LabelConfig, strict: bool = True, span: in
     is no multiple of 3 is an error.
     """
     g, p = ((F.col(c) == config.exon_label).cast("int") * length() for c in ("gt", "pred"))
-    running = lambda c: {f"_c{c}": Running("sum", F.col(f"_{c}"), upto=True), f"_r{c}": Running("sum", F.col(f"_{c}"), after=True)}
+    running = lambda c: {f"_c{c}": Running("sum", F.col(f"_{c}"), upto=True), f"_t{c}": Running("sum", F.col(f"_{c}"), whole=True)}
     rows = scan(pieces.withColumn("_g", g).withColumn("_p", p), KEYS, "lo", ["lo"], running("g") | running("p"), span)
-    rows = rows.withColumn("_tg", F.col("_cg") + F.coalesce("_rg", F.lit(0))).withColumn("_tp", F.col("_cp") + F.coalesce("_rp", F.lit(0)))
     rows = rows.where((F.col("_tg") > 0) & (F.col("_tp") >= 3))
     frame = F.abs(F.col("_cp") - F.col("_cg")) % 3
     if strict:

@@ -63,7 +63,7 @@ def sections(runs: DataFrame, label: int) -> DataFrame:
 def overlay(runs: DataFrame, span: int | None = WHOLE) -> DataFrame:
     """Joint pieces of both sides: keys, lo, hi, gt, pred. One shuffle, by sequence, or by ranges of `span` positions of it."""
     of = lambda side: Running("last", F.when(F.col("side") == side, F.col("label")), upto=True)
-    wanted = {"gt": of("gt"), "pred": of("pred"), "_end": Running("max", F.col("hi"), upto=True), "_next": Running("last", F.col("lo"), after=True)}
+    wanted = {"gt": of("gt"), "pred": of("pred"), "_end": Running("max", F.col("hi"), upto=True), "_next": Running("next", F.col("lo"))}
     rows = scan(runs.select(*KEYS, "side", "label", "lo", "hi"), KEYS, "lo", ["lo", "side"], wanted, span)
     # Of runs that start together the last one has seen both labels.
     rows = rows.where(F.col("_next").isNull() | (F.col("_next") > F.col("lo")))

@@ -21,31 +21,45 @@ WHOLE = None
 
 @dataclass(frozen=True)
 class Running:
-    """`kind` of `value` over the rows before (`upto`: also this one) or, if `after`, those after this one."""
+    """`kind` of `value` over the rows before (`upto`: also this one) or, if `after`, those after this one; if `whole`, over all rows of the key.
+
+    `last` skips nulls. `next` is the value of the row that follows, for values that are never null.
+    """
 
     kind: str
     value: Column
     upto: bool = False
     after: bool = False
-
-    def over(self, w: W) -> Column:
-        """Within a range. `w` is in scan order."""
-        first = {"last": F.last(self.value, ignorenulls=True), "max": F.max(self.value), "min": F.min(self.value), "sum": F.sum(self.value)}
-        if self.after:
-            near = F.first(self.value, ignorenulls=True) if self.kind == "last" else first[self.kind]
-            return near.over(w.rowsBetween(0 if self.upto else 1, W.unboundedFollowing))
-        return first[self.kind].over(w.rowsBetween(W.unboundedPreceding, 0 if self.upto else -1))
+    whole: bool = False
+
+    def over(self, keys: list[str], order: list[str]) -> Column:
+        """Within a range. Rows after this one are rows before it in the opposite order: such frames grow row by row, those
+        that end at the last row would be computed anew for each."""
+        by, of = W.partitionBy(*keys), {"last": F.last(self.value, ignorenulls=True), "max": F.max(self.value), "min": F.min(self.value), "sum": F.sum(self.value)}
+        if self.whole:
+            return of[self.kind].over(by)
+        if self.kind == "next":
+            return F.lead(self.value).over(by.orderBy(*order))
+        at = by.orderBy(*[F.col(c).desc_nulls_last() for c in order]) if self.after else by.orderBy(*order)
+        return of[self.kind].over(at.rowsBetween(W.unboundedPreceding, 0 if self.upto else -1))
 
     def total(self, order: Column) -> Column:
         """Of a whole range."""
-        if self.kind == "last":
+        if self.kind in ("last", "next"):
             at = F.when(self.value.isNotNull(), order)
-            return (F.min_by if self.after else F.max_by)(self.value, at)
+            return (F.min_by if self.after or self.kind == "next" else F.max_by)(self.value, at)
         return {"max": F.max, "min": F.min, "sum": F.sum}[self.kind](self.value)
 
+    def far(self, name: str) -> Column:
+        """Of the ranges before (after) one, or of all, from their totals."""
+        after = self.after or self.kind == "next"
+        return Running("last" if self.kind == "next" else self.kind, F.col(name), after=after, whole=self.whole).over(["_key"], ["_range"])
+
     def joined(self, near: Column, far: Column) -> Column:
         """Of the range's rows and all that came before it (after it)."""
-        if self.kind == "last":
+        if self.whole:
+            return far
+        if self.kind in ("last", "next"):
             return F.coalesce(near, far)
         if self.kind == "sum":
             return F.when(near.isNotNull() | far.isNotNull(), F.coalesce(near, F.lit(0)) + F.coalesce(far, F.lit(0)))
@@ -63,19 +77,16 @@ def scan(rows: DataFrame, keys: list[str], at: str, order: list[str], wanted: di
     stays empty.
     """
     if span is WHOLE:
-        w = W.partitionBy(*keys).orderBy(*order)
-        return rows.select("*", *[x.over(w).alias(n) for n, x in wanted.items()])
+        return rows.select("*", *[x.over(keys, order).alias(n) for n, x in wanted.items()])
     # One key column that is never null, and a range that isn't either: joins then filter neither side, and both branches
     # below, which read all columns, share one shuffle.
     others = [c for c in rows.columns if c not in keys]
     place_of = F.coalesce(F.floor(F.col(at) / F.lit(span)).cast("long"), F.lit(0).cast("long"))
     spread = rows.select(F.struct(*keys).alias("_key"), place_of.alias("_range"), *others).repartition("_key", "_range")
-    near = W.partitionBy("_key", "_range").orderBy(*order)
     place, everything = F.struct(*order), F.struct(*others)
     totals = spread.groupBy("_key", "_range").agg(*[x.total(place).alias(n) for n, x in wanted.items()], F.max(everything).alias("_all")).where("_all is not null")
-    along = W.partitionBy("_key").orderBy("_range")
-    totals = totals.select(F.col("_key").alias("_k"), F.col("_range").alias("_r"), *[Running(x.kind, F.col(n), after=x.after).over(along).alias(f"_far_{n}") for n, x in wanted.items()])
-    local = spread.select("*", *[x.over(near).alias(f"_near_{n}") for n, x in wanted.items()])
+    totals = totals.select(F.col("_key").alias("_k"), F.col("_range").alias("_r"), *[x.far(n).alias(f"_far_{n}") for n, x in wanted.items()])
+    local = spread.select("*", *[(F.lit(None) if x.whole else x.over(["_key", "_range"], order)).alias(f"_near_{n}") for n, x in wanted.items()])
     both = local.join(totals.hint("merge"), (F.col("_key") == F.col("_k")) & (F.col("_range") == F.col("_r")))
     out = [F.col(f"_key.{c}").alias(c) if c in keys else F.col(c) for c in rows.columns]
     return both.select(*out, *[x.joined(F.col(f"_near_{n}"), F.col(f"_far_{n}")).alias(n) for n, x in wanted.items()])
@@ -88,7 +99,7 @@ def fused(rows: DataFrame, keys: list[str], same: list[str], span: int | None =
     the next one starts by the end of all before it (`touching`: or right after it).
     """
     before = Running("max", F.col("hi")) if reach else Running("last", F.struct("hi", *same))
-    marked = scan(rows.select(*keys, *same, "lo", "hi"), keys, "lo", ["lo", "hi"], {"_was": before, "_rest": Running("max", F.col("hi"), upto=True, after=True)}, span)
+    marked = scan(rows.select(*keys, *same, "lo", "hi"), keys, "lo", ["lo", "hi"], {"_was": before, "_rest": Running("max", F.col("hi"), whole=True)}, span)
     if reach:
         was = F.col("_was")
         joins = F.col("lo") <= was + (1 if touching else 0)
@@ -97,7 +108,8 @@ def fused(rows: DataFrame, keys: list[str], same: list[str], span: int | None =
         joins = was == F.col("lo") - 1
         for c in same:
             joins = joins & F.col(f"_was.{c}").eqNullSafe(F.col(c))
-    # Only first rows go on; what was reached before the next first row is where this one's stretch ends.
+    # Only first rows go on; what was reached before the next first row is where this one's stretch ends, and the last
+    # stretch ends where the key does.
     first = marked.where(~F.coalesce(joins, F.lit(False))).select(*keys, *same, "lo", was.alias("_was"), "_rest")
-    ended = scan(first, keys, "lo", ["lo"], {"_end": Running("last", F.col("_was"), after=True)}, span)
+    ended = scan(first, keys, "lo", ["lo"], {"_end": Running("next", F.col("_was"))}, span)
     return ended.select(*keys, *same, "lo", F.coalesce("_end", "_rest").alias("hi"))

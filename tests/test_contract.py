@@ -60,17 +60,36 @@ def test_full_discovery(spark):
 
 
 def test_streaming(spark, tmp_path):
+    """Every family of a stream is that of one evaluation of all its sequences; replayed batches and sums change nothing."""
+    import random
+
     from segspan.config import FIVE_ROLES
+    from segspan.operators import runs
     from segspan.sources import arrays
     from segspan.streaming import incremental
 
-    data = [([0, 0, 8, 8], [0, 8, 8, 8]), ([8, 0, 0, 8], [8, 0, 0, 0])]
-    for k, (g, p) in enumerate(data):
-        arrays.pairs(spark, [g], [p]).drop("mask").write.mode("append").parquet(str(tmp_path / "in"))
+    r = random.Random(3)
+    axis = lambda n: [x for _ in range(n) for x in [r.choice([0, 0, 2, 8, 8])] * r.choice([1, 3, 6])]
+    data = []
+    for k in range(12):
+        g, p = axis(30), axis(30)
+        n = min(len(g), len(p))
+        data.append((r.choice(["a", "b"]), str(k), g[:n], p[:n]))
     schema = "predictor string, seq_id string, gt array<int>, pred array<int>"
+    for k in range(0, 12, 6):
+        spark.createDataFrame(data[k : k + 6], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = incremental.start(stream, FIVE_ROLES, str(tmp_path / "state"), str(tmp_path / "check"))
+    state = str(tmp_path / "state")
+    q = incremental.start(stream, FIVE_ROLES, state, str(tmp_path / "check"))
     q.processAllAvailable()
     q.stop()
-    r = incremental.current(spark, str(tmp_path / "state")).first()
-    assert (r.tn, r.fp, r.fn, r.tp) == (3, 1, 1, 3)
+    whole = incremental.states(runs.check_labels(arrays.runs(spark.createDataFrame(data, schema)), FIVE_ROLES), FIVE_ROLES)
+    tidy = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in df.select(sorted(df.columns)).collect())
+    want = {name: tidy(incremental.result(name, incremental.merge(name, [df]))) for name, df in whole.items()}
+    assert {name: tidy(incremental.current(spark, state, name)) for name in want} == want
+    assert len(want["nucleotide"]) == 2 and want["indel_counts"]
+    incremental.compact(spark, state, 0)
+    incremental.compact(spark, state, 1)
+    incremental.compact(spark, state, 1)
+    assert sorted(os.listdir(tmp_path / "state/frames")) == ["sum=1"]
+    assert {name: tidy(incremental.current(spark, state, name)) for name in ("nucleotide", "iou_stats", "indel_counts", "frames")} == {name: want[name] for name in ("nucleotide", "iou_stats", "indel_counts", "frames")}

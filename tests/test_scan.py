@@ -84,6 +84,7 @@ def test_values_before_and_after(spark):
     table = spark.createDataFrame(rows, "k string, at long, v int")
     v = F.col("v")
     wanted = {f"{kind}_{after}_{upto}": Running(kind, v, upto, after) for kind in ("last", "max", "min", "sum") for after in (False, True) for upto in (False, True)}
+    wanted |= {"top": Running("max", v, whole=True), "all": Running("sum", v, whole=True), "next": Running("next", F.col("at"))}
     got = scan(table, ["k"], "at", ["at"], wanted, 50)
     assert ROWS(got) == ROWS(scan(table, ["k"], "at", ["at"], wanted, WHOLE))
     w = W.partitionBy("k").orderBy("at")
