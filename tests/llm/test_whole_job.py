@@ -180,6 +180,22 @@ def test_default_against_every_seed_with_every_document(spark):
     assert recall >= 0.95
 
 
+@pytest.mark.parametrize(("words", "of", "edits"), [(40, 3, 0.06), (20, 5, 0.03), (30, 4, 0.06), (40, 3, 0.1)])
+def test_recall_of_short_stock_paragraphs(spark, words, of, edits):
+    """Passages made of paragraphs that are too short by themselves, in random order, with edited words and nothing unique around them."""
+    r = random.Random(5)
+    stock = [[f"w{r.randrange(4000)}" for _ in range(words)] for _ in range(6)]
+    rows = []
+    for k in range(160):
+        own = [w if r.random() > edits else f"e{r.randrange(10**7)}" for i in r.sample(range(6), of) for w in stock[i]]
+        rows.append((k, " ".join(own), "en", "a", 0))
+    docs = table(spark, rows)
+    found = lambda how: {(x.doc_id, w) for x in chaining.fuzzy_dedup(docs, how=how).collect() for s in x.spans or [] for w in range(s.start, s.end)}
+    want, got = found(chaining.Settings(every=True)), found(chaining.Settings())
+    print("recall", len(want & got) / len(want), len(want), len(got - want))
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_hot_seeds_go_row_by_row(spark, monkeypatch):
     """The same passages whether or not a slot of seeds is too large for a bucket."""
     r = random.Random(12)
