@@ -191,7 +191,7 @@ def test_recall_of_short_stock_paragraphs(spark, words, of, edits):
         rows.append((k, " ".join(own), "en", "a", 0))
     docs = table(spark, rows)
     found = lambda how: {(x.doc_id, w) for x in chaining.fuzzy_dedup(docs, how=how).collect() for s in x.spans or [] for w in range(s.start, s.end)}
-    want, got = found(chaining.Settings(every=True)), found(chaining.Settings())
+    want, got = found(chaining.Settings(hull=5, every=True)), found(chaining.Settings(hull=5))
     print("recall", len(want & got) / len(want), len(want), len(got - want))
     assert len(want & got) >= 0.9 * len(want)
 
