@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,9 +21,14 @@ def predictor_spec(spec: str) -> tuple[str, str]:
     return Path(spec).name.split(".")[0], spec
 
 
-def own_types(gt: list[str] | None, specs: list[str] | None) -> dict[str, list[str]]:
-    """Exon types by source, from types of the reference and `name:type` of predictors (several of one name add up)."""
+def own_types(gt: list[str] | None, specs: list[str] | None, predictors: Iterable[str] = ()) -> dict[str, list[str]]:
+    """Exon types by source, from types of the reference, and of predictors: plain ones of all, or `name:type` of one (several add up)."""
     out = {"gt": gt} if gt else {}
+    plain = [x for x in specs or () if ":" not in x]
+    if plain and len(plain) < len(specs):
+        raise SystemExit("exon types of predictors are either plain or name:type, not both")
+    if plain:
+        return out | {name: plain for name in predictors}
     for spec in specs or ():
         name, _, kind = spec.partition(":")
         if not name or not kind:
@@ -42,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--transcript-types", action="append")
     run.add_argument("--exon-types", action="append", help="of all sources without types of their own")
     run.add_argument("--gt-exon-feature-type", action="append", help="of the reference")
-    run.add_argument("--pred-exon-feature-type", action="append", metavar="NAME:TYPE", help="of one predictor")
+    run.add_argument("--pred-exon-feature-type", action="append", metavar="[NAME:]TYPE", help="of one predictor, or of all")
     run.add_argument("--metrics", action="append", choices=[m.value for m in Metric] + ["all"])
     run.add_argument("--output")
     run.add_argument("--mapping-output")
@@ -76,14 +82,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         metrics=metrics,
         transcript_types=args.transcript_types or ("mRNA", "transcript"),
         exon_types=args.exon_types or "exon",
-        own_exon_types=own_types(args.gt_exon_feature_type, args.pred_exon_feature_type),
+        own_exon_types=own_types(args.gt_exon_feature_type, args.pred_exon_feature_type, preds),
         mode=LocusMatching(args.locus_matching),
         infer_introns=not args.no_infer_introns,
         individual=args.individual,
     )
     if args.mapping_output:
         sinks.write_mapping(result.mapped, args.mapping_output)
-    text = sinks.to_json(result.nested(), args.output)
+    found = result.nested(result.small() if args.output else None)
+    if args.output and (files := result.write(f"{args.output}.parts")):
+        # What grows with the sequences stands beside the result, written by the executors.
+        found["files"] = files
+    text = sinks.to_json(found, args.output)
     if not args.output:
         print(text)
     return 0

@@ -1,11 +1,12 @@
 """Whole evaluations: paired arrays or annotation files in, one DataFrame per metric family out.
 
-Families that are not asked for are never planned. `nested` brings the (small) results of one evaluation
-to the driver as a dictionary.
+Families that are not asked for are never planned. `nested` brings results to the driver as a dictionary, for
+those that are `small`; `write` has the executors write those that grow with the sequences.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import ARRAY_DEFAULTS, GFF_DEFAULTS, LARGE_AXIS, LabelConfig, LocusMatching, Metric
 from ..functions.storage import materialized
 from ..operators import annotation, mapping, perbase, runs, sections, structure
+from ..operators.scan import SPAN
 from ..sources import arrays, gff
 
 AGGREGATE = ["predictor"]
@@ -28,15 +30,28 @@ class Evaluation:
     frames: dict[str, DataFrame] = field(default_factory=dict)
     mapped: DataFrame | None = None
 
-    def nested(self) -> dict[str, dict[str, list[dict]]]:
-        """predictor -> family -> rows."""
+    def nested(self, names: Iterable[str] | None = None) -> dict[str, dict[str, list[dict]]]:
+        """predictor -> family -> rows, on the driver: of all families, or of those named, such as the `small` ones."""
         out: dict[str, dict[str, list[dict]]] = {}
-        for name, df in self.frames.items():
-            for row in df.toLocalIterator():
+        for name in self.frames if names is None else names:
+            for row in self.frames[name].toLocalIterator():
                 r = row.asDict(recursive=True)
                 out.setdefault(r.pop("predictor"), {}).setdefault(name, []).append(r)
         return out
 
+    def small(self) -> list[str]:
+        """Families whose rows do not grow with the sequences: none if `individual`."""
+        return [n for n, df in self.frames.items() if "seq_id" not in df.columns]
+
+    def write(self, path: str) -> dict[str, str]:
+        """Families that grow with the sequences as JSON lines, written by the executors, a folder for each family and
+        predictor; family -> folder."""
+        out = {}
+        for name in self.frames.keys() - set(self.small()):
+            out[name] = f"{path}/{name}"
+            self.frames[name].write.mode("overwrite").partitionBy("predictor").json(out[name])
+        return dict(sorted(out.items()))
+
     def scalars(self) -> DataFrame:
         """The tidy frame of all numbers: predictor, metric_group, metric_key, value."""
         parts = []
@@ -62,11 +77,11 @@ def online_scalars(evaluation: Evaluation) -> DataFrame:
     return evaluation.scalars().where(F.concat_ws("|", "metric_group", "metric_key").isin(keys))
 
 
-def families(labelled: DataFrame, config: LabelConfig, metrics: Iterable[Metric], individual: bool = False) -> dict[str, DataFrame]:
-    """All frames for runs of both sides. Transitions are always there."""
+def families(labelled: DataFrame, config: LabelConfig, metrics: Iterable[Metric], individual: bool = False, span: int | None = None) -> dict[str, DataFrame]:
+    """All frames for runs of both sides. Transitions are always there. `span`: positions of a range, for long axes."""
     metrics = set(metrics)
     by = [*AGGREGATE, "seq_id", "chunk_id"] if individual else AGGREGATE
-    pieces = runs.overlay(labelled)
+    pieces = runs.overlay(labelled, span)
     events = perbase.transitions(labelled, pieces)
     out = {"transitions": perbase.transition_counts(events, by), "stable": perbase.stable_counts(labelled, by)}
     sequences = labelled.select(*runs.KEYS).distinct()
@@ -75,7 +90,7 @@ def families(labelled: DataFrame, config: LabelConfig, metrics: Iterable[Metric]
     if Metric.NUCLEOTIDE_CLASSIFICATION in metrics:
         out["nucleotide"] = perbase.nucleotide(pieces, config, by)
     if Metric.INDEL in metrics:
-        found = perbase.indel(pieces, config)
+        found = perbase.indel(pieces, config, span)
         out |= {"indel": found, "indel_counts": perbase.indel_counts(found, by)}
     if metrics & {Metric.REGION_DISCOVERY, Metric.BOUNDARY_EXACTNESS}:
         pairs = sections.pairs(g, p)
@@ -91,7 +106,7 @@ def families(labelled: DataFrame, config: LabelConfig, metrics: Iterable[Metric]
                 "terminal_flags": sections.terminal_flags(sequences, g, pairs),
             }
     if Metric.FRAMESHIFT in metrics:
-        out["frames"] = perbase.frame_shares(perbase.frames(pieces, config), by)
+        out["frames"] = perbase.frame_shares(perbase.frames(pieces, config, span=span), by)
     if Metric.STRUCTURAL_COHERENCE in metrics:
         structure.require_introns(labelled, config)
         intron = runs.sections(labelled, config.intron_label)
@@ -118,7 +133,12 @@ def evaluate_runs(labelled: DataFrame, config: LabelConfig, metrics: Iterable[Me
     if masks is not None:
         axes = labelled.groupBy("seq_id").agg((F.max("hi") + 1).alias("n"))
         labelled = runs.chunked(labelled, masks, axes)
-    return Evaluation(config, families(materialized(labelled), config, metrics or ARRAY_DEFAULTS, individual))
+    labelled = materialized(labelled)
+    # One number: axes that are long enough are cut into ranges, short ones are plain windows; results are the same.
+    longest = (labelled.agg(F.max("hi")).first()[0] or 0) + 1
+    if infer_introns and longest >= large:
+        warnings.warn(f"introns are inferred on axes of up to {longest} positions: only gaps up to a cutoff are filled where an axis has {large} or more", stacklevel=2)
+    return Evaluation(config, families(labelled, config, metrics or ARRAY_DEFAULTS, individual, SPAN if longest > SPAN else None))
 
 
 def benchmark_arrays(spark: SparkSession, gt: Sequence[Sequence[int]], pred: Sequence[Sequence[int]], config: LabelConfig, metrics: Iterable[Metric] | None = None, masks: Sequence[Sequence[bool]] | None = None, infer_introns: bool = False, individual: bool = False, predictor: str = "pred") -> Evaluation:

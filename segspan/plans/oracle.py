@@ -157,7 +157,20 @@ EVENTS = """
     gl AS ctx, CASE WHEN gl <> g2 AND pl = gl THEN g2 ELSE pl END AS row, p2 AS col FROM near WHERE g2 IS NOT NULL)
 """
 
+#: Segments of both sides with their mismatch flag.
+SEGMENTS = """
+, sl2 AS (SELECT predictor, o, 'gt' AS side, p, gl AS label, gl <> pl AS x FROM pos UNION ALL SELECT predictor, o, 'pred', p, pl, gl <> pl FROM pos)
+, sd AS (SELECT *, CASE WHEN lag(label) OVER w = label THEN 0 ELSE 1 END AS n FROM sl2 WINDOW w AS (PARTITION BY predictor, o, side ORDER BY p))
+, si AS (SELECT *, sum(n) OVER (PARTITION BY predictor, o, side ORDER BY p ROWS UNBOUNDED PRECEDING) AS i FROM sd)
+, seg AS (SELECT predictor, o, side, label, min(p) AS lo, max(p) AS hi, bool_or(x) AS mismatch FROM si GROUP BY predictor, o, side, label, i)
+"""
+
 SQL: dict[str, str] = {
+    "segment_flags": f"WITH {BASE}{POS}{SEGMENTS} SELECT predictor, side, label, mismatch, count(*) AS n, CAST(sum(hi - lo + 1) AS BIGINT) AS bases FROM seg GROUP BY 1, 2, 3, 4",
+    "track_tiles": f"""WITH {BASE}{POS}{SEGMENTS}, m AS (SELECT predictor, side, label, mismatch, o * 330 + lo AS lo, o * 330 + hi AS hi FROM seg),
+t AS (SELECT *, unnest(range(lo // 16384, hi // 16384 + 1)) AS t FROM m), b AS (SELECT *, least(hi, t * 16384 + 16383) - greatest(lo, t * 16384) + 1 AS n, CASE WHEN lo // 16384 = t THEN 1 ELSE 0 END AS s FROM t),
+k AS (SELECT *, unnest(range(4)) AS level FROM (SELECT predictor, side, label, t, sum(n) AS n, sum(CASE WHEN mismatch THEN n ELSE 0 END) AS f, sum(s) AS s FROM b GROUP BY 1, 2, 3, 4))
+SELECT predictor, side, CAST(level AS INTEGER) AS level, t >> CAST(level AS INTEGER) AS tile, label, CAST(sum(n) AS BIGINT) AS bases, CAST(sum(f) AS BIGINT) AS flagged, CAST(sum(s) AS BIGINT) AS segments FROM k GROUP BY 1, 2, 3, 4, 5""",
     "coding_sections": f"WITH {BASE} SELECT predictor, CAST(o AS VARCHAR) AS seq_id, 'gt' AS side, idx, CAST(s AS INTEGER) AS lo, CAST(e AS INTEGER) AS hi FROM gsec UNION ALL SELECT predictor, CAST(o AS VARCHAR), 'pred', idx, CAST(s AS INTEGER), CAST(e AS INTEGER) FROM psec",
     "rle_runs": f"""WITH {BASE}{POS}, l AS (SELECT predictor, o, 'gt' AS side, p, gl AS label FROM pos UNION ALL SELECT predictor, o, 'pred', p, pl FROM pos),
 d AS (SELECT *, CASE WHEN lag(label) OVER w = label THEN 0 ELSE 1 END AS n FROM l WINDOW w AS (PARTITION BY predictor, o, side ORDER BY p)),

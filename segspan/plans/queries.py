@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import FIVE_ROLES, LabelConfig, LocusMatching
 from ..functions.storage import materialized
-from ..operators import annotation, mapping, perbase, runs, sections, structure
+from ..operators import annotation, mapping, perbase, runs, sections, structure, tracks
 from ..sources import arrays, fixtures, gff
 from ..streaming import incremental
 from . import oracle
@@ -420,6 +420,20 @@ def long_axis_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("source", "l_start", "l_stop").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def segment_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of both sides by whether the other side differs anywhere inside."""
+    flagged = tracks.segments(_runs(spark, sf_dir))
+    return flagged.groupBy("predictor", "side", "label", "mismatch").agg(F.count(F.lit(1)).alias("n"), F.sum(perbase.length()).cast("long").alias("bases"))
+
+
+@query
+def track_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four zoom levels of the long axes."""
+    flagged = tracks.segments(_one_axis(spark, sf_dir), RANGE)
+    return tracks.tiles(flagged, 14, 4).drop("seq_id", "chunk_id")
+
+
 @query
 def exon_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gff.exon_arrays(fixtures.features(spark, sf_dir).where("source = 'gt'"), MRNA).select("seq_id", *[F.col(c).cast("long").alias(c) for c in ("n", "lo", "hi")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
@@ -25,13 +26,15 @@ def to_json(results: dict, path: str | None = None) -> str:
 
 
 def read_config(path: str) -> LabelConfig:
-    """Lines `role: integer`; the subset of YAML that a configuration needs."""
+    """A mapping `role: integer` in YAML: block or flow style, quoted or plain keys and values, under one more key or none."""
+    text = "\n".join(line.split("#", 1)[0].rstrip() for line in Path(path).read_text().splitlines() if line.strip() not in ("---", "..."))
     values = {}
-    for line in Path(path).read_text().splitlines():
-        line = line.split("#", 1)[0].strip()
-        if line:
-            name, _, value = line.partition(":")
-            values[name.strip()] = None if value.strip() in ("", "null", "~") else int(value)
+    for part in re.split(r"[\n,{}]", text):
+        name, colon, value = (x.strip().strip("\"'") for x in part.partition(":"))
+        if name and not colon:
+            raise ValueError(f"{path}: {part.strip()} is no role with a label")
+        if name and (value or name in LabelConfig.__dataclass_fields__):
+            values[name] = None if value.lower() in ("", "null", "~") else int(value)
     return LabelConfig(**values)
 
 

@@ -110,7 +110,8 @@ def test_exon_types_of_single_sources(spark, files):
         benchmark_gff(spark, str(files / "gt.gff3"), paths, FIVE_ROLES, own_exon_types={"x": "CDS"})
     assert cli.own_types(["exon"], ["c:CDS", "c:UTR"]) == {"gt": ["exon"], "c": ["CDS", "UTR"]}
     with pytest.raises(SystemExit):
-        cli.own_types(None, ["CDS"])
+        cli.own_types(None, ["CDS", "c:UTR"])
+    assert cli.own_types(["exon"], ["CDS", "UTR"], ["a", "b"]) == {"gt": ["exon"], "a": ["CDS", "UTR"], "b": ["CDS", "UTR"]}
 
 
 def test_odd_files(spark, tmp_path):
@@ -134,4 +135,21 @@ def test_cli(spark, files, capsys):
     assert sinks.read_config(str(files / "c.yaml")) == FIVE_ROLES
     cli.main(["run", "--gt", str(files / "gt.gff3"), "--pred", f"a:{files / 'pred.gff3'}", "--config", str(files / "c.yaml"), "--output", str(files / "out.json")], spark)
     assert "region_discovery" in (files / "out.json").read_text()
+    import json
+
+    found = json.loads((files / "out.json").read_text())
+    assert "terminal_flags" in found["files"] and "region_discovery" not in found["files"] and "region_discovery" in found["a"]
+    for folder in found["files"].values():
+        spark.read.json(folder).count()
     assert cli.predictor_spec("/x/y.gff3") == ("y", "/x/y.gff3")
+
+
+def test_label_configurations(tmp_path):
+    """Quotes, flow style, a key above, comments and document marks."""
+    for text in ("---\n'background_label': 8  # no gene\n\"exon_label\": \"0\"\nintron_label: 2\n...\n", "{background_label: 8, exon_label: 0, intron_label: 2, splice_donor_label: null}", "labels:\n  background_label: 8\n  exon_label: 0\n  intron_label: 2\n  splice_acceptor_label: ~\n"):
+        (tmp_path / "c.yaml").write_text(text)
+        got = sinks.read_config(str(tmp_path / "c.yaml"))
+        assert (got.background_label, got.exon_label, got.intron_label, got.splice_donor_label, got.splice_acceptor_label) == (8, 0, 2, None, None)
+    (tmp_path / "c.yaml").write_text("background_label 8\n")
+    with pytest.raises(ValueError, match="background_label 8"):
+        sinks.read_config(str(tmp_path / "c.yaml"))
