@@ -38,6 +38,11 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that ends with `name`."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables of this session; frames that read them can't be used any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))

@@ -172,16 +172,19 @@ def benchmark_features(
     individual: bool = False,
     gt_source: str = "gt",
     own_exon_types: dict[str, str | Sequence[str]] | None = None,
+    stored: bool = False,
 ) -> Evaluation:
     """Per-transcript and annotation-wide families for features of a reference (source `gt`) and predictors.
 
     `own_exon_types` names the exon types of single sources, the reference among them; others have `exon_types`.
+    `stored`: the features are a table already.
     """
     transcript_types, exon_types = _types(transcript_types), _types(exon_types)
     if own_exon_types:
         features = with_exon_types(features, exon_types, {k: _types(v) for k, v in own_exon_types.items()})
         exon_types = ["exon"]
-    features = materialized(features)
+    if not stored:
+        features = materialized(features)
     t = mapping.transcripts(features, mapping.intron_chains(features, exon_types), transcript_types)
     t = materialized(t)
     gt, pred = t.where(F.col("source") == gt_source), t.where(F.col("source") != gt_source)
@@ -219,8 +222,10 @@ def benchmark_gff(spark: SparkSession, gt_path: str, pred_paths: dict[str, str],
     unknown = set(options.get("own_exon_types") or ()) - {"gt", *pred_paths}
     if unknown:
         raise ValueError(f"exon types for {', '.join(sorted(unknown))}, which is no predictor")
-    parts = []
-    for name, path in {"gt": gt_path, **pred_paths}.items():
-        gff.inspect(spark, path)
-        parts.append(gff.read(spark, path, name, exclude))
-    return benchmark_features(reduce(DataFrame.unionByName, parts), config, **options)
+    paths = {"gt": gt_path, **pred_paths}
+    parts = {name: gff.observed(spark, path, name, exclude) for name, path in paths.items()}
+    # One scan of each file writes the features and counts its lines.
+    features = materialized(reduce(DataFrame.unionByName, [df for df, _ in parts.values()]))
+    for name, (_, seen) in parts.items():
+        gff.judge(paths[name], seen.get)
+    return benchmark_features(features, config, stored=True, **options)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import FIVE_ROLES, LabelConfig, LocusMatching
-from ..functions.storage import materialized
+from ..functions.storage import materialized, scratch
 from ..operators import annotation, mapping, perbase, runs, sections, structure, tracks
 from ..sources import arrays, fixtures, gff
 from ..streaming import incremental
@@ -460,6 +461,28 @@ def gtf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir, "gtf")
 
 
+def _files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The derived annotations written as files by the executors, a folder each, and read from there."""
+    f = materialized(fixtures.features(spark, sf_dir))
+    write = gff.gtf_lines if kind == "gtf" else gff.lines
+    parts = []
+    for source in ("gt", "p1", "p2"):
+        path = scratch(spark, f"{source}.{kind}")
+        write(f.where(F.col("source") == source)).orderBy("ord").select("value").write.text(path)
+        parts.append(gff.observed(spark, path, source)[0])
+    return reduce(DataFrame.unionByName, parts).drop("ord")
+
+
+@query
+def gff3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir, "gff3")
+
+
+@query
+def gtf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir, "gtf")
+
+
 #: Families whose result is made here from the merged states of disjoint batches of sequences, and the query of all at once.
 MERGED = {"nucleotide": "nucleotide_prf", "indel_counts": "indel_counts", "region_discovery": "region_discovery", "iou_stats": "iou_stats", "match_class": "match_class_dist", "segment_delta": "segment_delta_stats", "length_emd": "length_emd", "frames": "frame_percentages", "position_bias": "position_bias"}
 BATCHES = 3
@@ -481,4 +504,5 @@ for _family in MERGED:
 
 def oracle_sql() -> dict[str, str]:
     own = {k: v for k, v in oracle.SQL.items() if k in QUERIES}
+    own |= {f"{k}_files": oracle.SQL[f"{k}_parse"] for k in ("gff3", "gtf")}
     return own | {f"merged_{k}": oracle.SQL[v] for k, v in MERGED.items()}

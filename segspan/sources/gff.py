@@ -10,7 +10,7 @@ import os
 import warnings
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def annotation_format(path: str) -> str:
@@ -58,28 +58,48 @@ def read(spark: SparkSession, path: str, source: str, exclude: Iterable[str] = (
     return parse(spark.read.text(path), annotation_format(path), source, exclude)
 
 
-def inspect(spark: SparkSession, path: str) -> dict[str, int]:
-    """Counts of a file's lines: features, short ones (under nine columns), those without coordinates. One scan.
+def _counts() -> list[Column]:
+    """Of lines (`value`) that are neither empty nor comments: features, short ones (under nine columns), those without coordinates."""
+    content = ~F.col("value").startswith("#") & (F.trim("value") != "")
+    c = F.split("value", "\t")
+    whole = F.size(c) >= 9
+    placed = F.get(c, 3).try_cast("long").isNotNull() & F.get(c, 4).try_cast("long").isNotNull()
+    return [F.count_if(content & whole).alias("features"), F.count_if(content & ~whole).alias("short"), F.count_if(content & whole & ~placed).alias("unplaced")]
 
-    A path that can't be read, or lines of which none is a feature, raise a RuntimeError; short lines and missing
-    coordinates give a warning each.
-    """
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
     try:
-        rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("c"))
-        whole = F.size("c") >= 9
-        placed = F.get("c", 3).try_cast("long").isNotNull() & F.get("c", 4).try_cast("long").isNotNull()
-        n = rows.agg(F.count_if(whole).alias("features"), F.count_if(~whole).alias("short"), F.count_if(whole & ~placed).alias("unplaced")).first().asDict()
+        return spark.read.text(path)
     except Exception as e:
         raise RuntimeError(f"{path} can't be read as an annotation") from e
+
+
+def judge(path: str, n: dict[str, int]) -> dict[str, int]:
+    """Lines of which none is a feature raise a RuntimeError; short lines and missing coordinates give a warning each."""
     if n["short"] and not n["features"]:
         raise RuntimeError(f"{path} is no annotation: no line has nine columns")
     if n["short"]:
-        warnings.warn(f"{path}: {n['short']} lines with fewer than nine columns are left out", stacklevel=2)
+        warnings.warn(f"{path}: {n['short']} lines with fewer than nine columns are left out", stacklevel=3)
     if n["unplaced"]:
-        warnings.warn(f"{path}: {n['unplaced']} features without coordinates are not evaluated", stacklevel=2)
+        warnings.warn(f"{path}: {n['unplaced']} features without coordinates are not evaluated", stacklevel=3)
     return n
 
 
+def inspect(spark: SparkSession, path: str) -> dict[str, int]:
+    """Counts of a file's lines: features, short ones (under nine columns), those without coordinates. One scan.
+
+    A path that can't be read, or lines of which none is a feature, raise a RuntimeError; short lines and missing
+    coordinates give a warning each.
+    """
+    return judge(path, _lines(spark, path).agg(*_counts()).first().asDict())
+
+
+def observed(spark: SparkSession, path: str, source: str, exclude: Iterable[str] = ()) -> tuple[DataFrame, Observation]:
+    """Features of one file or folder, and the counts of `inspect` from the same scan: they are known once the features were used."""
+    seen = Observation()
+    return parse(_lines(spark, path).observe(seen, *_counts()), annotation_format(path), source, exclude), seen
+
+
 def lines(features: DataFrame) -> DataFrame:
     """GFF3 lines (ord, value) of features."""
     attributes = F.concat_ws(";", F.when(F.col("gff_id").isNotNull(), F.concat(F.lit("ID="), "gff_id")), F.when(F.col("parent").isNotNull(), F.concat(F.lit("Parent="), "parent")))

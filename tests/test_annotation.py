@@ -125,6 +125,19 @@ def test_odd_files(spark, tmp_path):
             gff.inspect(spark, str(tmp_path / name))
 
 
+def test_lines_are_counted_in_the_scan_that_reads_them(spark, files, tmp_path):
+    (tmp_path / "short.gff3").write_text(GT + "\nchr1\tx\texon\n" + row("chr1", "exon", ".", 9, "+", "Parent=m1"))
+    features, seen = gff.observed(spark, str(tmp_path / "short.gff3"), "gt")
+    n = features.count()
+    assert n == 9 and seen.get == {"features": 9, "short": 1, "unplaced": 1}
+    with pytest.warns(UserWarning, match="short.gff3"):
+        benchmark_gff(spark, str(tmp_path / "short.gff3"), {"a": str(files / "pred.gff3")}, FIVE_ROLES, metrics=[Metric.NUCLEOTIDE_CLASSIFICATION])
+    (tmp_path / "no.gff3").write_text("just\nwords\n")
+    for name in ("no.gff3", "missing.gff3"):
+        with pytest.raises(RuntimeError, match=name):
+            benchmark_gff(spark, str(tmp_path / name), {"a": str(files / "pred.gff3")}, FIVE_ROLES)
+
+
 def test_equal_totals_go_by_order():
     pairs = [("g1", "p1", 5), ("g1", "p2", 5), ("g2", "p1", 5), ("g2", "p2", 5), ("g3", "p9", 1)]
     assert assignment.best(pairs) == [True, False, False, True, True]
