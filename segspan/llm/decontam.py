@@ -271,7 +271,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, in which no benchmark window occurs."""
+    """The rows of `docs`, with all their columns, in which no benchmark window occurs.
+
+    Defined cases: null and empty texts stay; null and empty items hit nothing; repeated rows are judged alike, repeated
+    items count once; an empty benchmark keeps all rows; further columns, of any name, are carried along.
+    """
     small_batches(docs.sparkSession)
     spark, at, out = docs.sparkSession, docs.columns.index(text), docs
     for items in _blocks(benchmark, "item_id", "text"):
