@@ -28,6 +28,8 @@ BLOCK = 256
 #: White space as the split pattern knows it (a fixed value), and the length from which a run is cut out before splitting.
 SPACES, LONG_RUN = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 1000
 RUN = re.compile(f"[{SPACES}]{{{LONG_RUN},}}")
+#: A long run holds two neighbours among every LONG_RUN / 2nd character.
+SIGN, STEP = re.compile(f"[{SPACES}]{{2}}"), LONG_RUN // 2
 
 
 def encoder(ranks: bytes):
@@ -45,6 +47,8 @@ def count_tokens(encoding, text: str) -> int:
     pattern takes all but the last character of a run as one piece (all of it at the end of the text), and what stands
     before and after it is split as if it stood alone: counts stay the same.
     """
+    if len(text) < LONG_RUN or not SIGN.search(text[::STEP]):
+        return len(encoding.encode_ordinary(text))
     n = at = 0
     for m in RUN.finditer(text):
         end = m.end() if m.end() == len(text) else m.end() - 1
