@@ -25,8 +25,9 @@ def runs(table: DataFrame) -> DataFrame:
     """Runs of both sides of array pairs. Pairs of different length are an error."""
     same = F.when(F.size("gt") == F.size("pred"), F.col("gt")).otherwise(F.raise_error(F.lit("array pair of different length")).cast("array<int>"))
     table = table.withColumn("chunk_id", F.lit(0)).withColumn("gt", same)
-    side = lambda s: rle(table.withColumn("side", F.lit(s)), s, SIDE)
-    return side("gt").unionByName(side("pred"))
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(s).alias("labels"))
+    both = table.select("predictor", "seq_id", "chunk_id", F.inline(F.array(side("gt"), side("pred"))))
+    return rle(both, "labels", SIDE)
 
 
 def masks(table: DataFrame) -> DataFrame:

@@ -93,3 +93,18 @@ def test_streaming(spark, tmp_path):
     incremental.compact(spark, state, 1)
     assert sorted(os.listdir(tmp_path / "state/frames")) == ["sum=1"]
     assert {name: tidy(incremental.current(spark, state, name)) for name in ("nucleotide", "iou_stats", "indel_counts", "frames")} == {name: want[name] for name in ("nucleotide", "iou_stats", "indel_counts", "frames")}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["array_pair_confusion", "rle_runs", "gt_transition_matrix", "boundary_shift", "length_emd", "match_class_dist", "position_bias"])
+def test_dealt_once(spark, name):
+    """Rows are dealt by sequence once, for slots and axes; no later step shuffles them (or dense arrays of them) again."""
+    plan = OWN[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "seq_id" in x]
+    assert moved and all("REPARTITION_BY_NUM" in x for x in moved)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_tasks_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(entry._own.fixtures, "TASK_ROWS", 100)
+    assert entry._own.fixtures.slots(spark, SF).rdd.getNumPartitions() > 50
