@@ -96,7 +96,7 @@ def test_streaming(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["array_pair_confusion", "rle_runs", "gt_transition_matrix", "boundary_shift", "length_emd", "match_class_dist", "position_bias"])
+@pytest.mark.parametrize("name", ["array_pair_confusion", "rle_runs", "gt_transition_matrix", "boundary_shift", "length_emd", "match_class_dist", "position_bias", "inferred_introns"])
 def test_dealt_once(spark, name):
     """Rows are dealt by sequence once, for slots and axes; no later step shuffles them (or dense arrays of them) again."""
     plan = OWN[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
