@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from helpers import table
 
-from segspan.llm import chaining, jaccard, lots
+from segspan.llm import chaining, jaccard, lots, search
 
 
 def rounds(batch):
@@ -291,3 +291,29 @@ def test_templates_of_common_passages(spark, monkeypatch):
     got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(table(spark, rows)).collect()}
     assert got == {k: find(k) for k in range(len(texts))}
     assert all(got[a] == got[b] for a, b in planted.items())
+
+
+def test_search_rescores_few_of_a_first_shard(spark, monkeypatch):
+    """Without a threshold the first shard sent all documents with a common word; sums of both ways are the same."""
+    rng = np.random.default_rng(9)
+    names = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(names, 40))) for i in range(600)], "doc_id long, text string").coalesce(1)
+    heavy = np.sort(np.concatenate([h for _, h in search._terms(pa.array([" ".join(names[:50])]))]))
+    shard = search.Shard(search.build_index(docs, heavy).first().asDict(), len(heavy), 40.0)
+    terms = [np.unique(h) for _, h in search._terms(pa.array([r["text"] for r in docs.limit(300).collect()]))]
+    weights = [rng.random(len(t)) + 0.5 for t in terms]
+    batch, best = search.Batch(len(terms), len(heavy), search._packed(terms, weights, heavy)), search.Best(len(terms), 10, np.zeros(len(terms)))
+    rare = batch.rare(shard)
+    for q in (0, 150, 299):
+        own = dict(zip(terms[q].tolist(), weights[q].tolist(), strict=True))
+        want = np.zeros(rare.shape[1])
+        for t, a, b in zip(shard.term.tolist(), shard.ptr[:-1].tolist(), shard.ptr[1:].tolist(), strict=True):
+            want[shard.at[a:b]] += own.get(t, 0) * shard.impact[a:b]
+        assert np.allclose(rare[q], want)
+    sent = []
+    add = search.Best.add
+    monkeypatch.setattr(search.Best, "add", lambda self, q, *rest: (sent.append(len(q)), add(self, q, *rest)))
+    search.search_shard(batch, shard, best)
+    assert sum(sent) <= 15 * len(terms)
+    score = np.round(rare + batch.dense @ shard.dense.T, search.DECIMALS)[:, : shard.n]
+    assert (np.sort(best.score.reshape(len(terms), 10))[:, ::-1] == -np.sort(-score, 1)[:, :10]).mean() > 0.999
