@@ -76,6 +76,18 @@ def test_tracks(spark, span):
     assert not tracks.segments(labelled.where("lo < 0"), span).count()
 
 
+@pytest.mark.parametrize("span", [None, 16, 64])
+def test_tiles_of_runs_are_those_of_segments(spark, span):
+    """With a span no segment is shuffled: what is grouped by the ranges stays where it lies."""
+    labelled = arrays.runs(arrays.pairs(spark, axes(3, [300, 40, 1]), axes(4, [300, 40, 1]))).cache()
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    got = tracks.run_tiles(labelled, 3, 4, span)
+    assert rows(got) == rows(tracks.tiles(tracks.segments(labelled, span), 3, 4))
+    if span:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "hi#" in x.split("hashpartitioning(")[1].split(")")[0] and "tile#" not in x]
+
+
 def test_executors_write_what_grows(spark, tmp_path):
     gt, pred = axes(5, [60] * 8), axes(6, [60] * 8)
     result = benchmark_arrays(spark, gt, pred, FIVE_ROLES, [Metric.NUCLEOTIDE_CLASSIFICATION, Metric.INDEL], individual=True)
