@@ -21,7 +21,7 @@ shingle to documents:
 
 A parity sketch of each set (the parities of its members in 2048 hash classes) differs in no more bits than
 the sets differ in members. It bounds every distance from below; where that is beyond the radius the bound
-stands in for the distance, and the sets stay where they are. Links are verified on the whole sets. Equal sets are one node from the start.
+stands in for the distance, and the sets stay where they are. Links are verified on the whole sets, which travel as texts. Equal sets are one node from the start.
 All joins are merges at every size of the input, which Spark splits at hot keys; a pair's bundle follows from its own row.
 """
 
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from .bytesop import chunks, lower_table, mix, shingles, word_hashes, word_table
@@ -61,6 +62,8 @@ CORE, HOT_FLAG = 1, 2
 #: A pair to measure, and what its region has to know of b: flags, the labels of both, bounds of its distance to the
 #: center. Pairs of one `region` are measured together, in `ka` times `kb` bundles by the hashes of a and b.
 TODO = "a long, b long, pivot long, m long, ca long, cb long, lo double, hi double, region long, ka long, kb long"
+#: A set and its content: the text, or the hashes of its shingles.
+CONTENT = "sid long, text string, set binary"
 #: A region's possible pairs are measured at once if they are so many a member.
 AT_ONCE = 16
 #: Bits a key and the most bits of the filter that says which sets are needed, and the bits that each key sets.
@@ -273,7 +276,7 @@ def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact overlaps. Rows by bundle: first the sets of its a (sid, set), then for each b its set, if it is no a, and its pairs (sid, other).
+    """Exact overlaps. Rows by bundle: first the sets of its a (sid; text or set), then for each b its set, if it is no a, and its pairs (sid, other).
 
     Holds the sets of a bundle's a, and one b at a time.
     """
@@ -282,11 +285,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, both, either = [], [], [], []
         keys = list(zip(*(batch.column(k).to_pylist() for k in ("region", "i", "j")), strict=True))
         sid, other, streams, data = batch.column("sid").to_pylist(), batch.column("other").to_pylist(), batch.column("streams").to_pylist(), batch.column("set")
+        of_texts = document_sets(batch.column("text").drop_null())
         for k, bundle in enumerate(keys):
             if bundle != bundle0:
                 bundle0, sets = bundle, {}
             if other[k] is None:
-                one = np.frombuffer(data[k].as_py(), np.uint64)
+                one = np.frombuffer(data[k].as_py(), np.uint64) if data[k].is_valid else next(of_texts)[1]
                 if streams[k]:
                     passing = sid[k], one
                 else:
@@ -310,8 +314,8 @@ def _bundled(close: DataFrame, content: DataFrame) -> DataFrame:
     key = ["region", "i", "j"]
     ends = pairs.select(*key, "sid", F.lit(1).alias("streams")).union(pairs.select(*key, "other", F.lit(0)))
     ends = ends.groupBy("sid", *key).agg(F.min("streams").alias("streams"))
-    sets = content.join(ends.hint("merge"), "sid").select(*key, "streams", "sid", F.lit(None).cast("long").alias("other"), "set")
-    rows = sets.unionByName(pairs.select(*key, F.lit(1).alias("streams"), "sid", "other", F.lit(None).cast("binary").alias("set")))
+    sets = content.join(ends.hint("merge"), "sid").select(*key, "streams", "sid", F.lit(None).cast("long").alias("other"), "text", "set")
+    rows = sets.unionByName(pairs.select(*key, F.lit(1).alias("streams"), "sid", "other", F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("set")))
     return rows.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key, "streams", "sid", F.col("other").asc_nulls_first())
 
 
@@ -327,34 +331,38 @@ def _in_filter(bits: np.ndarray, sid: np.ndarray, rep: np.ndarray) -> np.ndarray
     return ((bits[at >> 3] >> (at & 7)) & 1).all(-1)
 
 
-def _needed_sets(docs: DataFrame, need: DataFrame, bits: np.ndarray) -> DataFrame:
-    """sid, set for the sets in `need` (sid, rep), each from the document rep; the filter passes few others."""
-    bc = docs.sparkSession.sparkContext.broadcast(bits)
+def _needed_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """sid, text, set for the sets in `need` (sid, rep), each from the document rep; the filter passes few others.
+
+    A set travels as the text it is of, a fraction of its hashes once compressed, or as hashes where the text is longer.
+    """
+    reps = need.select(F.lit(0).cast("long").alias("sid"), "rep")  # tells documents to skip before their words are read
+    bc = docs.sparkSession.sparkContext.broadcast(_filter_bits(need.select("sid", "rep").union(reps), 2 * need.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
         for batch in batches:
-            ids, sids, data, held = [], [], [], 0
-            known = batch.column(0).to_pylist()
-            for row, s in document_sets(batch.column(1)):
+            rep = batch.column(0).fill_null(0).to_numpy()
+            batch = batch.filter(pa.array(_in_filter(bc.value, np.zeros(len(rep), np.int64), rep)))
+            rows, sids, data = [], [], []
+            known, texts = batch.column(0).fill_null(0).to_pylist(), batch.column(1)
+            for row, s in document_sets(texts):
                 if not len(s) or ((sid := set_id(s)), known[row]) in seen:
                     continue
-                if _in_filter(bc.value, np.array([sid], np.int64), np.array([known[row] or 0], np.int64))[0]:
+                if _in_filter(bc.value, np.array([sid], np.int64), np.array([known[row]], np.int64))[0]:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add((sid, known[row]))
-                    ids.append(known[row])
+                    rows.append(row)
                     sids.append(sid)
-                    data.append(s.tobytes())
-                    held += len(data[-1])
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["sid", "rep", "set"])
-                        ids, sids, data, held = [], [], [], 0
-            if sids:
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["sid", "rep", "set"])
+                    data.append(s.tobytes() if s.nbytes < texts[row].as_buffer().size else None)
+            own = texts.take(pa.array(rows, pa.int64()))
+            sent = pa.array(data, pa.binary())
+            own = pa.compute.if_else(sent.is_null(), own, pa.scalar(None, own.type))
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), own, sent], names=["sid", "text", "set"])
 
-    found = docs.mapInArrow(run, "sid long, rep long, set binary")
-    return found.join(need.select("sid").hint("merge"), "sid", "left_semi").select("sid", "set").dropDuplicates(["sid"])
+    found = docs.mapInArrow(run, CONTENT)
+    return found.join(need.select("sid").hint("merge"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def _passed(content: DataFrame, need: DataFrame) -> DataFrame:
@@ -367,7 +375,7 @@ def _passed(content: DataFrame, need: DataFrame) -> DataFrame:
             sid = batch.column(0).to_numpy()
             yield batch.filter(pa.array(_in_filter(bc.value, sid, np.zeros(len(sid), np.int64))))
 
-    return content.mapInArrow(run, "sid long, set binary")
+    return content.mapInArrow(run, CONTENT)
 
 
 def _filter_bits(need: DataFrame, n: int) -> np.ndarray:
@@ -554,7 +562,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             ends = ends.select(F.col("a").alias("sid")).union(ends.select("b"))
             ends = (ends if round_ == 1 else ends.union(todo.select("b"))).distinct()
             need = scratch.put(f"need-{round_}", ends.join(reps.select("sid", "rep").hint("merge"), "sid"))
-            content = _needed_sets(texts, need, _filter_bits(need, need.count()))
+            content = _needed_sets(texts, need)
             if round_ == 2:  # round 1 sends its sets on as they come
                 content = scratch.put("content", content)
             scratch.free()

@@ -317,3 +317,18 @@ def test_search_rescores_few_of_a_first_shard(spark, monkeypatch):
     assert sum(sent) <= 15 * len(terms)
     score = np.round(rare + batch.dense @ shard.dense.T, search.DECIMALS)[:, : shard.n]
     assert (np.sort(best.score.reshape(len(terms), 10))[:, ::-1] == -np.sort(-score, 1)[:, :10]).mean() > 0.999
+
+
+def test_sets_travel_as_what_is_shorter(spark):
+    """Hashes of ordinary texts are longer than the texts and don't compress: sets were moved at some twice the bytes."""
+    r = random.Random(17)
+    plain = [f"w{r.randrange(4000)}" for _ in range(300)]
+    texts = [" ".join(plain), " ".join([*plain[:-1], "Changed"]), "same same " * 300, "same same " * 299, "one two", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = {k: jaccard.set_id(s) for k, s in jaccard.document_sets(pa.array(texts))}
+    need = spark.createDataFrame([(own[k], k) for k in (0, 2, 4)], "sid long, rep long")
+    got = {x.sid: (x.text, x.set) for x in jaccard._needed_sets(docs, need).collect()}
+    assert set(got) == {own[k] for k in (0, 2, 4)}
+    assert got[own[0]] == (texts[0], None) and got[own[4]][0] == texts[4]
+    assert got[own[2]][0] is None and len(got[own[2]][1]) == 8
+    assert [x.component_id for x in jaccard.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 0, 2, 2, 4, 5, 6]
