@@ -332,3 +332,23 @@ def test_sets_travel_as_what_is_shorter(spark):
     assert got[own[0]] == (texts[0], None) and got[own[4]][0] == texts[4]
     assert got[own[2]][0] is None and len(got[own[2]][1]) == 8
     assert [x.component_id for x in jaccard.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 0, 2, 2, 4, 5, 6]
+
+
+@pytest.mark.parametrize("lot", [1 << 19, 100])
+def test_passage_whose_seeds_all_have_other_documents_first_and_before(spark, lot, monkeypatch):
+    """Documents with nine words of an edited passage lie before its first document, and between both: no seed of its second one met the first."""
+    if lot == 100:  # with hot seeds, and in several rounds
+        for module, name, value in ((lots, "LOT", lot), (lots, "HOT", 1), (chaining, "ROUND", 100), (chaining, "SHARE", 10**6)):
+            monkeypatch.setattr(module, name, value)
+    r = random.Random(18)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    edited = [word() if k % 12 == 11 else w for k, w in enumerate(passage)]
+    text = lambda own: " ".join([word() for _ in range(30)] + own + [word() for _ in range(30)])
+    pieces = [passage[k : k + 9] for k in range(0, 60, 5)]
+    rows = [(base + k, text(own), "en", "a", 0) for base in (0, 200) for k, own in enumerate(pieces)]
+    docs = table(spark, [*rows, (100, text(passage), "en", "a", 0), (300, text(edited), "en", "a", 0)])
+    found = lambda how: {x.doc_id: x.spans for x in chaining.fuzzy_dedup(docs, how=how).where("n_removed > 0").collect()}
+    got = found(chaining.Settings())
+    assert got == found(chaining.Settings(every=True))
+    assert set(got) == {300} and got[300][0].start == 30 and got[300][0].end >= 89
