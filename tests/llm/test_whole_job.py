@@ -319,6 +319,16 @@ def test_search_rescores_few_of_a_first_shard(spark, monkeypatch):
     assert (np.sort(best.score.reshape(len(terms), 10))[:, ::-1] == -np.sort(-score, 1)[:, :10]).mean() > 0.999
 
 
+def test_search_batches_hold_no_dense_rows(spark):
+    """A task holds all batches of a wave: with dense weights some 150 MB a worker, whatever the queries' words."""
+    heavy = np.arange(1024, dtype=np.uint64)
+    terms = [np.array([k, 5000 + k], np.uint64) for k in range(512)]
+    batch = search.Batch(len(terms), len(heavy), search._packed(terms, [np.ones(2)] * len(terms), heavy))
+    held = [x for v in vars(batch).values() for x in (v if isinstance(v, (list, tuple)) else [v])]
+    assert sum(x.nbytes for x in held if isinstance(x, np.ndarray)) < 1 << 16
+    assert (batch.dense.argmax(1) == np.arange(512)).all() and batch.dense.sum() == 512
+
+
 def test_sets_travel_as_what_is_shorter(spark):
     """Hashes of ordinary texts are longer than the texts and don't compress: sets were moved at some twice the bytes."""
     r = random.Random(17)
