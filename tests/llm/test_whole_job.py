@@ -362,3 +362,66 @@ def test_passage_whose_seeds_all_have_other_documents_first_and_before(spark, lo
     got = found(chaining.Settings())
     assert got == found(chaining.Settings(every=True))
     assert set(got) == {300} and got[300][0].start == 30 and got[300][0].end >= 89
+
+
+def test_pairs_inside_a_stock_phrase_are_not_looked_at():
+    """Of places with the same seeds beside them one of each step is sent; all their pairs were looked at in every round."""
+    r = np.random.default_rng(5)
+    n = 3000
+    seed = np.repeat(np.array([7, 9, 11], np.uint64), n)
+    doc, pos = np.tile(np.arange(n), 3), r.integers(0, 400, 3 * n).astype(np.int32)
+    pos[:n] |= 1
+    asks = (r.random(3 * n) < 0.9).astype(np.uint8)
+    around = np.repeat(np.array([1, 2, 3], np.uint64), n)
+    odd = np.concatenate([r.choice(n, 20, replace=False), n + r.choice(n, 300, replace=False)])
+    around[odd] = r.integers(2, 6, len(odd)).astype(np.uint64)
+    order = r.permutation(3 * n)
+    order = order[(seed[order] != 11) | (doc[order] < 60)]
+    packed = lots.pack(np.zeros(len(order), np.int64), [x[order] for x in (seed, doc, pos, asks, around)])
+    rest = list(chaining._rest(iter([packed])))
+    for step in (16, 1):
+        got = [b for nth in range(2) for b in chaining._bucket_met(iter([x.select(["data"]) for x in rest]), nth, 2, step)]
+        sent = np.stack([np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(4)])
+        want = []
+        for s in (7, 9, 11):
+            own = np.sort(order[seed[order] == s])
+            x, y = np.nonzero((asks[own] > 0)[:, None] & (doc[own][:, None] > doc[own]) & ((around[own][:, None] != around[own]) | (pos[own] % step == 0)[:, None]))
+            want.append(np.stack([doc[own][x], doc[own][y], pos[own][x], pos[own][y]]))
+        want = np.concatenate(want, 1)
+        assert (sent[:, np.lexsort(sent)] == want[:, np.lexsort(want)]).all()
+        if step == 16:
+            assert len(got) <= 16 and 16 * chaining.BATCH_ROWS < n * n  # the pairs of two of the seeds, looked at in batches
+
+
+def test_only_pairs_that_may_span_a_hull_are_sorted():
+    """All matches of a round were sorted, though nearly all pairs share a single stock phrase."""
+    r = np.random.default_rng(6)
+    doc, start = np.arange(20000), r.integers(0, 300, 20000)
+    long = np.flatnonzero(r.random(20000) < 0.01)
+    near = [doc, doc, doc, long, long]
+    pos = np.concatenate([start, start + 8, start + 4, start[long] - 8, start[long] + 15]).astype(np.int32)
+    doc = np.concatenate(near)
+    order = r.permutation(len(doc))
+    doc, pos = doc[order], pos[order]
+    kept = chaining._maybe_wide(chaining._pair(doc, doc // 7), pos, 20)
+    rows = np.bincount(doc[kept], minlength=20000)
+    assert (rows[long] == 5).all() and set(rows.tolist()) <= {0, 3, 5}
+    none = chaining._maybe_wide(chaining._pair(doc, doc // 7), pos, chaining.SEED)
+    assert len(none) == len(doc)
+    assert len(chaining._maybe_wide(chaining._pair(doc[:0], doc[:0]), pos[:0], 20)) == 0
+    two = np.concatenate([np.arange(5000)] * 2)
+    assert len(chaining._maybe_wide(chaining._pair(two, two // 3), np.repeat(np.array([7, 15], np.int32), 5000), 20)) < 5000
+
+
+def test_packed_columns_are_the_same_planes():
+    r = np.random.default_rng(7)
+    columns = [r.integers(0, 1 << 60, 1000).astype("<u8"), r.integers(-5, 1 << 40, 1000), r.integers(0, 9999, 1000).astype("<i4"), r.integers(0, 4, 1000).astype("u1")]
+    bucket = r.integers(0, 5, 1000)
+    packed = lots.pack(bucket, columns)
+    for k, data in zip(*(packed.column(c) for c in range(2)), strict=True):
+        own = [c[bucket == k.as_py()] for c in columns]
+        assert data.as_py() == b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in own)
+        assert all((x == y).all() for x, y in zip(lots.unpack([data], [c.dtype for c in columns]), own, strict=True))
+    whole = lots.unpack(list(packed.column(1)), [c.dtype for c in columns])
+    assert sorted(zip(*(c.tolist() for c in whole), strict=True)) == sorted(zip(*(c.tolist() for c in columns), strict=True))
+    assert [len(c) for c in lots.unpack([], [c.dtype for c in columns])] == [0] * 4
