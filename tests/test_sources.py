@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from segspan.config import FIVE_ROLES, Metric
-from segspan.operators import tracks
+from segspan.operators import runs, tracks
 from segspan.plans.benchmark import benchmark_arrays, evaluate_runs
 from segspan.sources import arrays, npz
 
@@ -111,3 +111,16 @@ def test_long_axes_warn_and_are_cut(spark, monkeypatch):
     assert of(evaluate_runs(labelled, FIVE_ROLES, metrics)) == want
     with pytest.warns(UserWarning, match="400 positions"):
         evaluate_runs(labelled, FIVE_ROLES, metrics, infer_introns=True, large=300)
+
+
+def test_dense_arrays_in_batches(spark, monkeypatch):
+    """Runs painted and encoded in batches: as by position, without a function called for each position."""
+    monkeypatch.setattr(runs, "PAINTED", 50)
+    table = arrays.pairs(spark, axes(7, [400, 90, 1, 0]), axes(8, [400, 90, 1, 0]))
+    labelled = arrays.runs(table)
+    again = runs.repainted(labelled, runs.SIDE)
+    assert sorted(map(tuple, again.select(labelled.columns).collect())) == sorted(map(tuple, labelled.collect()))
+    odd = spark.createDataFrame([(1, [None, 3, 3, None, 3, 4]), (2, []), (3, None), (4, [7])], "k int, labels array<int>")
+    assert sorted(map(tuple, runs.rle(odd, "labels", ["k"]).collect()), key=lambda x: (x[0], x[2])) == [(1, None, 0, 4), (1, 4, 5, 5), (4, 7, 0, 0)]
+    for df in (again, runs.rle(odd, "labels", ["k"])):
+        assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
