@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.runs import SIDE, rle
+from ..operators.runs import SIDE, painted, rle
 
 
 def pairs(spark: SparkSession, gt: Sequence[Sequence[int]], pred: Sequence[Sequence[int]], masks: Sequence[Sequence[bool]] | None = None, predictor: str = "pred") -> DataFrame:
@@ -34,3 +36,54 @@ def masks(table: DataFrame) -> DataFrame:
     """seq_id, lo, hi of masked stretches."""
     some = table.where("mask is not null").withColumn("m", F.transform("mask", lambda x: x.cast("int")))
     return rle(some, "m", ["seq_id"]).where("label = 1").select("seq_id", "lo", "hi").distinct()
+
+
+def painted_confusion(runs: DataFrame, by: str = "predictor") -> DataFrame:
+    """by, gt, pred, n: positions of each pair of labels. Runs of both sides are painted to array pairs, which exist in a task's batches only.
+
+    `runs` tile both sides of each seq_id and chunk_id. Pairs of different length are an error, and so are null labels.
+    """
+    side = lambda s: F.collect_list(F.when(F.col("side") == s, F.struct("lo", "hi", "label"))).alias(s)
+    both = runs.groupBy(*dict.fromkeys([by, "seq_id", "chunk_id"])).agg(side("pred"), side("gt")).select(by, "pred", "gt")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turned = (batch.select([0, 2, 1]) for batch in painted(batches))
+        return confusion(painted(turned))
+
+    kinds = [f"{by} {runs.schema[by].dataType.simpleString()}", "gt bigint", "pred bigint", "n bigint"]
+    label = runs.schema["label"].dataType
+    return both.mapInArrow(counted, ", ".join(kinds)).groupBy(by, F.col("gt").cast(label).alias("gt"), F.col("pred").cast(label).alias("pred")).agg(F.sum("n").alias("n"))
+
+
+def confusion(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(by, gt, pred, n) of each batch of (by, gt, pred), where gt and pred are dense arrays."""
+    for batch in batches:
+        n, m = (batch.column(k).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for k in (1, 2))
+        if (n != m).any():
+            raise ValueError("array pair of different length")
+        if not n.sum():
+            continue
+        sides = [batch.column(k).flatten() for k in (1, 2)]
+        if any(x.null_count for x in sides):
+            raise ValueError("array pair with a null label")
+        names = batch.column(0).dictionary_encode(null_encoding="encode")
+        known, codes = [], [np.repeat(names.indices.to_numpy(), n)]
+        for x in (x.to_numpy() for x in sides):
+            low, high = int(x.min()), int(x.max())
+            if high - low < 1 << 10:
+                known.append(np.arange(low, high + 1))
+                codes.append(x - low)
+            else:
+                values, code = np.unique(x, return_inverse=True)
+                known.append(values)
+                codes.append(code)
+        shape = (len(names.dictionary), len(known[0]), len(known[1]))
+        cells, counts = np.ravel_multi_index(codes, shape), None
+        if np.prod(shape, dtype=np.float64) <= 1 << 22:
+            counts = np.bincount(cells, minlength=int(np.prod(shape)))
+            cells = np.flatnonzero(counts)
+            counts = counts[cells]
+        else:
+            cells, counts = np.unique(cells, return_counts=True)
+        a, g, p = np.unravel_index(cells, shape)
+        yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(a)), *(pa.array(x.astype(np.int64)) for x in (known[0][g], known[1][p], counts))], names=[batch.schema.names[0], "gt", "pred", "n"])

@@ -2,8 +2,10 @@
 
 import json
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from segspan.config import FIVE_ROLES, Metric
@@ -114,13 +116,25 @@ def test_long_axes_warn_and_are_cut(spark, monkeypatch):
 
 
 def test_dense_arrays_in_batches(spark, monkeypatch):
-    """Runs painted and encoded in batches: as by position, without a function called for each position."""
+    """Runs painted and encoded, or counted, in batches: as by position, without a function called for each position."""
     monkeypatch.setattr(runs, "PAINTED", 50)
     table = arrays.pairs(spark, axes(7, [400, 90, 1, 0]), axes(8, [400, 90, 1, 0]))
     labelled = arrays.runs(table)
     again = runs.repainted(labelled, runs.SIDE)
     assert sorted(map(tuple, again.select(labelled.columns).collect())) == sorted(map(tuple, labelled.collect()))
+    counts = arrays.painted_confusion(labelled)
+    assert counts.schema["gt"].dataType == labelled.schema["label"].dataType
+    want = Counter((g, p) for row in table.collect() for g, p in zip(row.gt, row.pred, strict=True))
+    assert {(x.gt, x.pred): x.n for x in counts.collect()} == want
     odd = spark.createDataFrame([(1, [None, 3, 3, None, 3, 4]), (2, []), (3, None), (4, [7])], "k int, labels array<int>")
     assert sorted(map(tuple, runs.rle(odd, "labels", ["k"]).collect()), key=lambda x: (x[0], x[2])) == [(1, None, 0, 4), (1, 4, 5, 5), (4, 7, 0, 0)]
-    for df in (again, runs.rle(odd, "labels", ["k"])):
+    for df in (again, counts, runs.rle(odd, "labels", ["k"])):
         assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="different length"):
+        arrays.painted_confusion(labelled.where("side = 'gt' or seq_id <> '1'")).collect()
+
+
+def test_wide_labels_are_counted():
+    batch = pa.RecordBatch.from_pydict({"predictor": ["a", None], "gt": [[10**9, 5, 5], [-7]], "pred": [[0, 10**6, 10**6], [3]]})
+    got = [tuple(x.values()) for b in arrays.confusion(iter([batch])) for x in b.to_pylist()]
+    assert sorted(got, key=str) == sorted([("a", 10**9, 0, 1), ("a", 5, 10**6, 2), (None, -7, 3, 1)], key=str)
