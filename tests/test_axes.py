@@ -310,3 +310,25 @@ def test_cutoffs(spark):
 
     assert cutoff([30, 33, 36, 39]) == 20 * 31.5
     assert cutoff([30, 900, 33, 1000]) == math.floor(math.sqrt(33 * 900))
+
+
+def test_gaps_that_stay_on_large_axes(spark):
+    """Cutoffs are read for large axes only; given their lengths, other runs are not read for them at all."""
+    def axis(gaps, n):
+        a = [0, 0]
+        for g in gaps:
+            a += [8] * g + [0, 0]
+        return [8, *a] + [8] * (n - len(a) - 1)
+
+    labels = [axis([2, 3, 2, 60, 3], 300), axis([2, 3, 2, 60, 3], 100), axis([70], 300), axis([], 300), axis([1, 80, 1], 300)]
+    labelled = labelled_axes(spark, labels, labels)
+    lengths = labelled.groupBy(*runs.SIDE).agg((F.max("hi") + 1).alias("n"))
+    rows = lambda df: sorted(map(tuple, df.select(*runs.SIDE, "label", "lo", "hi").collect()))
+    got = rows(runs.infer_introns(labelled, FIVE_ROLES, large=300, axes=lengths))
+    assert got == rows(runs.infer_introns(labelled, FIVE_ROLES, large=300))
+    gaps = lambda k: sorted((lo, hi, label) for _, s, _, side, label, lo, hi in got if s == str(k) and side == "gt" and label != 0 and lo and hi < len(labels[k]) - 1)
+    assert [label for _, _, label in gaps(0)] == [2, 2, 2, 8, 2] and {label for _, _, label in gaps(1)} == {2}
+    assert [label for _, _, label in gaps(2)] == [2] and gaps(3) == [] and [label for _, _, label in gaps(4)] == [2, 8, 2]
+    short = lengths.select(*runs.SIDE, F.lit(300).alias("n"))
+    plan = runs.infer_introns(labelled, FIVE_ROLES, axes=short)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
